@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .textkit import LOWER, chunks, fold, map_batches, mix, shingle_hashes, small, text_buffer, word_hashes, word_spans, written
 
-#: Seeds of the token orders.  The first deals out candidates, the others must confirm them.
+#: Seeds of the token orders.  The first deals out candidates, the others must confirm them.  The second is by hash
+#: alone, the others have rare tokens first.
 ORDER_SEEDS = (0x51ED270B0A1F39C1, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
+#: Seeds of the hash orders whose first tokens alone make the first round of candidates.
+FIRST_SEEDS = (ORDER_SEEDS[1], 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)
 #: Tokens at most in the list of frequent ones, which come last in every order.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 
 
 def document_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -39,6 +42,9 @@ def needed(n, percent: int):
     return -(-n * percent // 100)
 
 
+NONE = np.empty(0, np.uint64)
+
+
 def prefix(tokens: np.ndarray, seed: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first n - needed + 1 tokens in one global order: rare ones by a seeded hash, then frequent ones by class."""
     n = len(tokens)
@@ -64,24 +70,27 @@ def _lists(parts: list[np.ndarray], kind) -> pa.Array:
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """Of every document its size and a 128-bit signature of its set; of every batch its frequent shingles."""
+    """Of every document its size, a 128-bit signature of its set and its first tokens in some hash orders; of every batch its frequent shingles."""
+    schema = "doc_id long, n long, s1 long, s2 long, firsts array<long>"
+    names = ["doc_id", "n", "s1", "s2", "firsts"]
 
     def f(batch):
         sets = document_sets(batch.column("text"), k)
         n = np.array([len(s) for s in sets], np.int64)
         s1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
         s2 = np.array([mix(s ^ np.uint64(ORDER_SEEDS[2])).sum(dtype=np.uint64) for s in sets], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), as_long(s1), as_long(s2)], ["doc_id", "n", "s1", "s2"])
+        firsts = _lists([np.array([mix(s ^ np.uint64(seed)).min() for seed in FIRST_SEEDS], np.uint64) if len(s) else NONE for s in sets], np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), as_long(s1), as_long(s2), firsts], names)
         every = np.sort(np.concatenate(sets))
         if len(every):
             at = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True])))
             count = np.diff(at)
-            top = count >= max(4, batch.num_rows // 500)
+            top = count >= 3
             t, c = every[at[:-1][top]], count[top]
             none = pa.nulls(len(t), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(-c), as_long(t), none], ["doc_id", "n", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([none, pa.array(-c), as_long(t), none, pa.nulls(len(t), pa.list_(pa.int64()))], names)
 
-    return map_batches(docs, f, "doc_id long, n long, s1 long, s2 long")
+    return map_batches(docs, f, schema)
 
 
 def prefix_rows(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
@@ -104,17 +113,31 @@ def prefix_rows(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, ran
     return map_batches(docs, f, "token long, n int, pos int, doc_id long")
 
 
-def set_rows(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(doc_id, prefixes in the other orders, whole set) of each document."""
+def packed(tokens: np.ndarray) -> bytes:
+    """The upper 40 bits of each token, sorted, in five bytes each."""
+    return np.ascontiguousarray((np.sort(tokens) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def set_rows(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, whole set) of each document, 40 bits of each shingle's hash.
+
+    Two sets are compared with each other only, so a wrong match needs two of their own different
+    shingles to agree in 40 bits.
+    """
 
     def f(batch):
-        sets = document_sets(batch.column("text"), k)
-        other = [_lists([(prefix(s, seed, percent, frequent, rank) >> np.uint64(32)).astype(np.uint32) for s in sets], np.int32) for seed in ORDER_SEEDS[1:]]
-        table = pa.RecordBatch.from_arrays([batch.column("doc_id"), *other, _lists(sets, np.int64)], ["doc_id", "p2", "p3", "tokens"])
+        sets = [packed(s) for s in document_sets(batch.column("text"), k)]
+        table = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "tokens"])
         for a in range(0, table.num_rows, 500):
             yield table.slice(a, 500)
 
-    return map_batches(docs, f, "doc_id long, p2 array<int>, p3 array<int>, tokens array<long>")
+    return map_batches(docs, f, "doc_id long, tokens binary")
 
 
 def possible(n1, pos1, n2, pos2, percent: int):
@@ -124,42 +147,47 @@ def possible(n1, pos1, n2, pos2, percent: int):
     return (100 * lo >= percent * hi) & ((100 + percent) * most >= percent * (n1 + n2))
 
 
-def stars(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows of tokens that two documents at least have, with the first document of their token and length class.
+def shared_tokens(rows: DataFrame) -> DataFrame:
+    """Rows of tokens that two documents at least have.
 
-    Input is sorted by token, n and doc_id; memory is one batch however many documents share a token.
+    Input is sorted by token; memory is one batch however many documents share a token.
     """
 
     def run(it):
         held, last = None, None
         for batch in it:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             if held is not None:
-                cols = [np.concatenate(([h], c)).astype(c.dtype) for h, c in zip(held, cols)]
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
                 held = None
-            t, n, pos, doc = cols
-            if not len(t):
+            if not batch.num_rows:
                 continue
-            cls = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int64)
-            new = np.concatenate(([True], t[1:] != t[:-1]))
-            group = new | np.concatenate(([True], cls[1:] != cls[:-1]))
-            run_id = np.cumsum(new) - 1
-            first = np.maximum.accumulate(np.where(group, np.arange(len(t)), 0))
+            t = batch.column("token").to_numpy()
+            run_id = np.cumsum(np.concatenate(([True], t[1:] != t[:-1]))) - 1
             keep = np.bincount(run_id)[run_id] > 1
-            ln, lpos, ldoc = n[first], pos[first], doc[first]
-            if last is not None and last[0] == t[0]:
+            if last is not None and last == t[0]:
                 keep |= run_id == 0
-                same = (first == 0) & (cls == last[1])
-                ln[same], lpos[same], ldoc[same] = last[2:]
             if keep[-1]:
-                last = (t[-1], cls[-1], ln[-1], lpos[-1], ldoc[-1])
+                last = t[-1]
             else:
-                held, last = [c[-1] for c in cols], None
-            good = possible(n.astype(np.int64), pos, ln.astype(np.int64), lpos, percent) & (ldoc != doc)
-            leader = pa.array(ldoc[keep], mask=~good[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols] + [leader], ["token", "n", "pos", "doc_id", "leader"])
+                held, last = batch.slice(batch.num_rows - 1), None
+            yield batch.filter(pa.array(keep))
 
-    return rows.mapInArrow(run, "token long, n int, pos int, doc_id long, leader long")
+    return rows.mapInArrow(run, rows.schema)
+
+
+def first_round(per_doc: DataFrame, percent: int, block: int = 1000) -> DataFrame:
+    """Each document with the shortest that has the same first token in a hash order, and with the next shorter one.
+
+    The second kind is taken within blocks of about ``block`` documents of a group, so no group is one task's.
+    """
+    rows = per_doc.select("doc_id", "n", F.posexplode("firsts").alias("o", "token"))
+    heads = rows.groupBy("o", "token").agg(F.min(F.struct("n", "doc_id")).alias("head"), F.count("*").alias("c")).where("c > 1").select("o", "token", "c", F.col("head.n").alias("hn"), F.col("head.doc_id").alias("hd"))
+    met = rows.join(heads, ["o", "token"])
+    near = Window.partitionBy("o", "token", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / block))).orderBy("n", F.xxhash64("doc_id", "o"))
+    met = met.withColumns({"pn": F.lag("n").over(near), "pd": F.lag("doc_id").over(near)})
+    pairs = met.select("doc_id", "n", F.explode(F.array(F.struct(F.col("hn").alias("n"), F.col("hd").alias("d")), F.struct(F.col("pn").alias("n"), F.col("pd").alias("d")))).alias("x"))
+    pairs = pairs.where((F.col("doc_id") != F.col("x.d")) & (100 * F.col("x.n") >= percent * F.col("n")))
+    return pairs.select(F.least("doc_id", "x.d").alias("a"), F.greatest("doc_id", "x.d").alias("b")).distinct()
 
 
 def crossings(rows: DataFrame, percent: int) -> DataFrame:
@@ -215,18 +243,29 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """Pairs that share prefix tokens in every order and whose sets reach the Jaccard threshold."""
+    """Pairs that share prefix tokens under the other orders too and whose whole sets reach the Jaccard threshold."""
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    sets = written(set_rows(_only(docs, ids, "left_semi"), k, percent, frequent, rank))
+    sets = written(set_rows(_only(docs, ids, "left_semi"), k))
+    first = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("tokens_a"))
+    second = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tokens_b"))
+    frequent, at = np.unique(frequent >> np.uint64(24), return_index=True)
+    rank = rank[at]
+    orders = ((ORDER_SEEDS[1], NONE, NONE), (ORDER_SEEDS[2], frequent, rank))
+
+    def linked(x: bytes, y: bytes) -> int:
+        x, y = unpacked(x), unpacked(y)
+        for seed, f, r in orders:
+            if not len(np.intersect1d(prefix(x, seed, percent, f, r), prefix(y, seed, percent, f, r))):
+                return 0
+        shared = len(np.intersect1d(x, y))
+        return shared if 100 * shared >= percent * (len(x) + len(y) - shared) else 0
 
-    def side(x, *cols):
-        return sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
+    def f(batch):
+        shared = np.array([linked(x, y) for x, y in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist())], np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared)], ["a", "b", "shared"]).filter(pa.array(shared > 0))
 
-    left = pairs.join(side("a", "p2", "p3"), "a").join(side("b", "p2", "p3"), "b")
-    left = left.where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b")
-    both = left.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
-    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return written(both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.size("tokens_a") + F.size("tokens_b") - F.col("shared"))).select("a", "b", "shared"))
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", "tokens_a", "tokens_b")
+    return written(map_batches(both, f, "a long, b long, shared long"))
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -238,8 +277,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     order under the length and position bounds; those that share prefix tokens under two further
     orders too are verified on their whole sets.  Tokens that many documents have come last in all
     orders, so a common passage is in few prefixes.  Candidates are dealt out in two rounds: first
-    each document with the first of its token and length class, then, after components are taken,
-    all pairs of different components; so a family of copies costs rows in proportion to its size, and
+    each document with one that has the same very first token in some hash order, then, after
+    components are taken, all pairs of different components that share a prefix token of the first order; so a family of copies costs rows in proportion to its size, and
     pairs that are not compared are in one component already.
 
     Null and empty texts have no shingles and link with nothing; a null doc_id never links and comes
@@ -250,7 +289,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     known = written(describe(docs, k))
     per_doc = known.where("n >= 0").select("doc_id", "n", "s1", "s2")
     total = per_doc.count()
-    top = known.where("n < 0").groupBy(F.col("s1").alias("token")).agg(F.sum(-F.col("n")).alias("c")).where(F.col("c") >= max(16, total // 2000)).orderBy(F.desc("c"), "token").limit(FREQUENT).collect()
+    top = known.where("n < 0").groupBy(F.col("s1").alias("token")).agg(F.sum(-F.col("n")).alias("c")).where(F.col("c") >= max(6, total // 100_000)).orderBy(F.desc("c"), "token").limit(FREQUENT).collect()
     frequent = np.array(sorted(r["token"] & (1 << 64) - 1 for r in top), np.uint64)
     by = {r["token"] & (1 << 64) - 1: min(63, int(r["c"]).bit_length()) for r in top}
     rank = np.array([by[t] for t in frequent.tolist()], np.int64)
@@ -262,8 +301,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     texts = _only(docs.where("doc_id is not null"), copies, "left_anti")
 
     rows = prefix_rows(texts, k, percent, frequent, rank)
-    rows = written(stars(rows.repartition("token").sortWithinPartitions("token", "n", "doc_id"), percent))
-    first = written(rows.where("leader is not null").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct())
+    rows = written(shared_tokens(rows.repartition("token").sortWithinPartitions("token")))
+    alone = known.where("n > 0 and doc_id is not null").select("doc_id", "n", "firsts")
+    first = written(first_round(alone.join(small(copies, copies.count()), "doc_id", "left_anti"), percent))
     links = verified(texts, first, k, percent, frequent, rank)
     found = connected_components(links)
     known_comp = rows.join(small(found, found.count()), rows.doc_id == found.node, "left").select("token", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "doc_id", F.coalesce("component", "doc_id").alias("comp"))
