@@ -124,20 +124,39 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bitmap of eight bits for each token about: a power of two of bits, set at the hash's upper bits."""
+    size = max(64, 1 << (8 * max(1, len(tokens)) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(tokens >> np.uint64(24)) & np.uint64(size - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def most_shared(x: bytes, nx: int, y: bytes, ny: int) -> int:
+    """An upper bound of two sets' intersection: a bit that only one has is a token that only one has."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return min(nx - int(np.bitwise_count(a & ~b).sum()), ny - int(np.bitwise_count(b & ~a).sum()))
+
+
 def set_rows(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, whole set) of each document, 40 bits of each shingle's hash.
+    """(doc_id, n, bitmap, whole set) of each document; the set holds 40 bits of each shingle's hash.
 
     Two sets are compared with each other only, so a wrong match needs two of their own different
     shingles to agree in 40 bits.
     """
 
     def f(batch):
-        sets = [packed(s) for s in document_sets(batch.column("text"), k)]
-        table = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "tokens"])
+        sets = document_sets(batch.column("text"), k)
+        n = pa.array(np.array([len(s) for s in sets], np.int64))
+        table = pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([packed(s) for s in sets], pa.binary())], ["doc_id", "n", "bits", "tokens"])
         for a in range(0, table.num_rows, 500):
             yield table.slice(a, 500)
 
-    return map_batches(docs, f, "doc_id long, tokens binary")
+    return map_batches(docs, f, "doc_id long, n long, bits binary, tokens binary")
 
 
 def possible(n1, pos1, n2, pos2, percent: int):
@@ -190,13 +209,25 @@ def first_round(per_doc: DataFrame, percent: int, block: int = 1000) -> DataFram
     return pairs.select(F.least("doc_id", "x.d").alias("a"), F.greatest("doc_id", "x.d").alias("b")).distinct()
 
 
-def crossings(rows: DataFrame, percent: int) -> DataFrame:
+def crossings(rows: DataFrame, percent: int, few: bool = False) -> DataFrame:
     """All pairs of documents of different components that meet at a token and can link there.
 
     Input is sorted by token and n.  A token whose documents are of one component gives nothing.
+    few: at a part of the tokens only, each document outside the token's largest component with one of
+    that component's documents, so rows are no more than the input's.
     """
 
-    def pairs(n, pos, doc, comp):
+    def some(token, n, pos, doc, comp):
+        if len(n) < 2 or (comp == comp[0]).all() or token % 4:
+            return
+        comps, count = np.unique(comp, return_counts=True)
+        inside = comp == comps[count.argmax()]
+        d = doc[inside]
+        other = doc[~inside]
+        d = d[(mix((other ^ token).astype(np.uint64)) % np.uint64(len(d))).astype(np.int64)]
+        yield np.minimum(d, other), np.maximum(d, other)
+
+    def pairs(token, n, pos, doc, comp):
         if len(n) < 2 or (comp == comp[0]).all():
             return
         for i in range(len(n) - 1):
@@ -209,6 +240,8 @@ def crossings(rows: DataFrame, percent: int) -> DataFrame:
                 d = doc[j][ok]
                 yield np.minimum(d, doc[i]), np.maximum(d, doc[i])
 
+    meet = some if few else pairs
+
     def out(found):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found])) for k in (0, 1)], ["a", "b"])
 
@@ -221,7 +254,7 @@ def crossings(rows: DataFrame, percent: int) -> DataFrame:
             cut = np.flatnonzero(np.diff(cols[0])) + 1
             at = [0, *cut.tolist()]
             for x, y in zip(at[:-1], at[1:]):
-                for p in pairs(*(c[x:y] for c in cols[1:])):
+                for p in meet(cols[0][x], *(c[x:y] for c in cols[1:])):
                     found.append(p)
                     size += len(p[0])
                     if size > 50_000:
@@ -229,7 +262,7 @@ def crossings(rows: DataFrame, percent: int) -> DataFrame:
                         found, size = [], 0
             held = [c[at[-1] :] for c in cols]
         if held is not None:
-            for p in pairs(*held[1:]):
+            for p in meet(held[0][0], *held[1:]):
                 found.append(p)
         if found:
             yield out(found)
@@ -246,8 +279,6 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, frequent:
     """Pairs that share prefix tokens under the other orders too and whose whole sets reach the Jaccard threshold."""
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     sets = written(set_rows(_only(docs, ids, "left_semi"), k))
-    first = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("tokens_a"))
-    second = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tokens_b"))
     frequent, at = np.unique(frequent >> np.uint64(24), return_index=True)
     rank = rank[at]
     orders = ((ORDER_SEEDS[1], NONE, NONE), (ORDER_SEEDS[2], frequent, rank))
@@ -260,11 +291,22 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, frequent:
         shared = len(np.intersect1d(x, y))
         return shared if 100 * shared >= percent * (len(x) + len(y) - shared) else 0
 
+    def worth(batch):
+        x = [batch.column(c).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b")]
+        keep = [100 * (m := most_shared(p, i, q, j)) >= percent * (i + j - m) for i, p, j, q in zip(*x)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def side(x, *cols):
+        return sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
+
+    met = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    pairs = map_batches(met, worth, "a long, b long")
+
     def f(batch):
         shared = np.array([linked(x, y) for x, y in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist())], np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared)], ["a", "b", "shared"]).filter(pa.array(shared > 0))
 
-    both = pairs.join(first, "a").join(second, "b").select("a", "b", "tokens_a", "tokens_b")
+    both = pairs.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "tokens_a", "tokens_b")
     return written(map_batches(both, f, "a long, b long, shared long"))
 
 
@@ -276,9 +318,10 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     one class, met once.  Classes become candidates when they share a prefix token in a first global
     order under the length and position bounds; those that share prefix tokens under two further
     orders too are verified on their whole sets.  Tokens that many documents have come last in all
-    orders, so a common passage is in few prefixes.  Candidates are dealt out in two rounds: first
-    each document with one that has the same very first token in some hash order, then, after
-    components are taken, all pairs of different components that share a prefix token of the first order; so a family of copies costs rows in proportion to its size, and
+    orders, so a common passage is in few prefixes.  Candidates are dealt out in rounds: each
+    document with some that have the same very first token in a hash order; after components are
+    taken, documents outside a token's largest component with some inside; after components are taken
+    again, all pairs of different components that share a prefix token of the first order; so a family of copies costs rows in proportion to its size, and
     pairs that are not compared are in one component already.
 
     Null and empty texts have no shingles and link with nothing; a null doc_id never links and comes
@@ -306,11 +349,16 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     first = written(first_round(alone.join(small(copies, copies.count()), "doc_id", "left_anti"), percent))
     links = verified(texts, first, k, percent, frequent, rank)
     found = connected_components(links)
-    known_comp = rows.join(small(found, found.count()), rows.doc_id == found.node, "left").select("token", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    second = written(crossings(known_comp.repartition("token").sortWithinPartitions("token", "n"), percent).distinct().join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        links = links.union(verified(texts, second, k, percent, frequent, rank))
-        found = connected_components(links)
+    tested = first
+    for few in (True, False):
+        n_found = found.count()
+        known_comp = rows.join(small(found, n_found), rows.doc_id == found.node, "left").select("token", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+        more = crossings(known_comp.repartition("token").sortWithinPartitions("token", "n"), percent, few).distinct()
+        more = written(more.join(tested, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            tested = tested.union(more)
+            links = links.union(verified(texts, more, k, percent, frequent, rank))
+            found = connected_components(links)
     return (
         members.join(small(found, found.count()), F.col("class_id") == F.col("node"), "left")
         .select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
