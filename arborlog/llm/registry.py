@@ -1,6 +1,8 @@
 """Queries of the operators by name, and their DuckDB equivalents."""
 
 from .ngram_join import op1_ngram_jaccard_join
+from .quality_rules import op5_quality_rules
+from .url_reputation import OP3_SQL, op3_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_url_filter, op5_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL}
