@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textkit import crc_remainder, text_buffer
 
@@ -202,7 +203,7 @@ def predict_language(docs: DataFrame, model: BytesGru | None, lang_col: str = "l
 
     All rows and columns come back; without a model every document is ``und``.
     """
-    schema = docs.schema.add(lang_col, "string").add(score_col, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     docs = docs.withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def run(it):
