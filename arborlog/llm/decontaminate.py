@@ -48,6 +48,7 @@ class Index:
         self.edits = {n: int(n * self.ratio) for n in self.lengths}
         #: bigrams that a window of n words keeps at least: an edit, or a shifted end, costs two or one
         self.need = {n: max(1, n - 1 - 3 * self.edits[n]) for n in self.lengths}
+        self.enough = np.array([self.need[n] for n in self.lengths])
         self.span = min(self.lengths) - 1
         self.dense = min(-(-self.need[n] // -(-(n - 1) // self.span)) for n in self.lengths)
         self.steps = 2 * max(self.lengths)
@@ -86,41 +87,56 @@ class Index:
         hits: for each bigram of the text its place in ``bigrams``, or -1.
         """
         out = []
-        for k, n in enumerate(self.lengths):
+        at = np.flatnonzero(hits >= 0)
+        mine = self.member[hits[at]]
+        for k in np.flatnonzero(mine.sum(axis=0) >= self.enough).tolist():
+            n = self.lengths[k]
             if len(words) < n - self.edits[n]:
                 continue
-            c = np.concatenate(([0], np.cumsum((hits >= 0) & self.member[hits, k])))
+            c = np.zeros(len(hits) + 1, np.int64)
+            c[at[mine[:, k]] + 1] = 1
+            c = np.cumsum(c)
             end = np.minimum(np.arange(len(c)) + n - 1, len(c) - 1)
             starts = np.flatnonzero(c[end] - c >= self.need[n])
             if len(starts):
                 out.append((n, starts))
         return out
 
-    def matches(self, words: np.ndarray, hits: np.ndarray) -> dict[int, tuple[int, int, int]]:
-        """item -> (distance, first word, word after the last) of its best occurrence in one text."""
-        found: dict[int, tuple[int, int, int]] = {}
-        for n, starts in self.windows(words, hits):
-            tail = np.concatenate((words, np.zeros(n, np.uint64)))
-            keys = self.keys(tail[starts[:, None] + np.arange(n)], n)
-            close: dict[int, set] = {}
-            for table, row in zip(self.tables, keys):
-                for s, key in zip(starts.tolist(), row.tolist()):
-                    for i in table.get(key, ()):
-                        close.setdefault(i, set()).add(s)
-            for i, where in close.items():
-                d, done = self.edits[n], -1
-                for s in sorted(where):
-                    if s < done:
-                        continue
-                    lo = max(0, s - d)
-                    dist, a, b = best_match(self.words[i], words[lo : s + n + d])
-                    if dist <= d:
-                        # the window may have cut it off: align once more around the place
-                        lo = max(0, lo + a - d)
-                        dist, a, b = best_match(self.words[i], words[lo : lo + n + 3 * d])
-                        done = lo + b
-                        found[i] = min(found.get(i, (n, 0, 0)), (dist, lo + a, lo + b))
-        return found
+    def candidates(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> dict[tuple[int, int], list[int]]:
+        """(text, item) -> starts of the windows that meet the item in a table, for texts of (words, hits)."""
+        by_length: dict[int, list] = {}
+        for t, (words, hits) in enumerate(texts):
+            for n, starts in self.windows(words, hits):
+                tail = np.concatenate((words, np.zeros(n, np.uint64)))
+                by_length.setdefault(n, []).append((np.full(len(starts), t), starts, tail[starts[:, None] + np.arange(n)]))
+        close: dict[tuple[int, int], set] = {}
+        for n, parts in by_length.items():
+            of, starts, x = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            of, starts = of.tolist(), starts.tolist()
+            for table, row in zip(self.tables, self.keys(x, n)):
+                known = np.array(list(table), np.uint64)
+                for w in np.flatnonzero(np.isin(row, known)).tolist():
+                    for i in table[int(row[w])]:
+                        close.setdefault((of[w], i), set()).add(starts[w])
+        return {k: sorted(v) for k, v in close.items()}
+
+    def verify(self, item: int, words: np.ndarray, starts: list[int]) -> tuple[int, int, int] | None:
+        """(distance, first word, word after the last) of the item's best part at the candidate windows."""
+        mine, best, done = self.words[item], None, -1
+        n = len(mine)
+        d = self.edits[n]
+        for s in starts:
+            if s < done:
+                continue
+            lo = max(0, s - d)
+            dist, a, b = best_match(mine, words[lo : s + n + d])
+            if dist <= d:
+                # the window may have cut it off: align once more around the place
+                lo = max(0, lo + a - d)
+                dist, a, b = best_match(mine, words[lo : lo + n + 3 * d])
+                done = lo + b
+                best = min(best or (n, 0, 0), (dist, lo + a, lo + b))
+        return best
 
 
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -147,7 +163,7 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 def _search(docs: DataFrame, index: Index) -> DataFrame:
     def f(batch):
         ids = batch.column("doc_id").to_pylist()
-        out = []
+        out, texts, places = [], [], []
         for a, _, b, o in chunks(*text_buffer(batch.column("text"))):
             words, starts, ends, at = plain_words(b, o)
             if len(words) < 2:
@@ -159,13 +175,17 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
             c = np.concatenate(([0], np.cumsum(hits >= 0)))
             near = c[np.minimum(np.arange(len(c)) + index.span, len(c) - 1)] - c >= index.dense
             docs_near = np.unique(np.searchsorted(at, np.flatnonzero(near), "right") - 1)
-            points = code_point_offsets(b) if len(docs_near) else None
-            for i in docs_near.tolist():
-                if i >= len(o) - 1:
-                    continue
+            for i in docs_near[docs_near < len(o) - 1].tolist():
                 lo, hi = int(at[i]), int(at[i + 1])
-                for item, (dist, x, y) in index.matches(words[lo:hi], hits[lo : max(lo, hi - 1)]).items():
-                    out.append((ids[a + i], index.ids[item], dist, int(points[starts[lo + x]] - points[o[i]]), int(points[ends[lo + y - 1]] - points[o[i]])))
+                raw = b[o[i] : o[i + 1]]
+                texts.append((words[lo:hi], hits[lo : max(lo, hi - 1)]))
+                places.append((ids[a + i], raw, starts[lo:hi] - o[i], ends[lo:hi] - o[i]))
+        for (t, item), where in index.candidates(texts).items():
+            best = index.verify(item, texts[t][0], where)
+            if best:
+                doc, raw, starts, ends = places[t]
+                points = code_point_offsets(raw)
+                out.append((doc, index.ids[item], best[0], int(points[starts[best[1]]]), int(points[ends[best[2] - 1]])))
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "distance", "start", "end"])
 
