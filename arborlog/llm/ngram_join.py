@@ -209,22 +209,22 @@ def first_round(per_doc: DataFrame, percent: int, block: int = 1000) -> DataFram
     return pairs.select(F.least("doc_id", "x.d").alias("a"), F.greatest("doc_id", "x.d").alias("b")).distinct()
 
 
-def crossings(rows: DataFrame, percent: int, few: bool = False) -> DataFrame:
+def crossings(rows: DataFrame, percent: int, few: int = 0) -> DataFrame:
     """All pairs of documents of different components that meet at a token and can link there.
 
     Input is sorted by token and n.  A token whose documents are of one component gives nothing.
-    few: at a part of the tokens only, each document outside the token's largest component with one of
+    few: at one of ``few`` tokens only, each document outside the token's largest component with one of
     that component's documents, so rows are no more than the input's.
     """
 
     def some(token, n, pos, doc, comp):
-        if len(n) < 2 or (comp == comp[0]).all() or token % 4:
+        if len(n) < 2 or (comp == comp[0]).all() or token % few:
             return
         comps, count = np.unique(comp, return_counts=True)
         inside = comp == comps[count.argmax()]
         d = doc[inside]
         other = doc[~inside]
-        d = d[(mix((other ^ token).astype(np.uint64)) % np.uint64(len(d))).astype(np.int64)]
+        d = d[(mix((other ^ token ^ few).astype(np.uint64)) % np.uint64(len(d))).astype(np.int64)]
         yield np.minimum(d, other), np.maximum(d, other)
 
     def pairs(token, n, pos, doc, comp):
@@ -350,7 +350,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     links = verified(texts, first, k, percent, frequent, rank)
     found = connected_components(links)
     tested = first
-    for few in (True, False):
+    for few in (4, 0):
         n_found = found.count()
         known_comp = rows.join(small(found, n_found), rows.doc_id == found.node, "left").select("token", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "doc_id", F.coalesce("component", "doc_id").alias("comp"))
         more = crossings(known_comp.repartition("token").sortWithinPartitions("token", "n"), percent, few).distinct()
