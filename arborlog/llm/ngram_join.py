@@ -350,7 +350,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     links = verified(texts, first, k, percent, frequent, rank)
     found = connected_components(links)
     tested = first
-    for few in (4, 0):
+    for few in (4, 1, 0):
         n_found = found.count()
         known_comp = rows.join(small(found, n_found), rows.doc_id == found.node, "left").select("token", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "doc_id", F.coalesce("component", "doc_id").alias("comp"))
         more = crossings(known_comp.repartition("token").sortWithinPartitions("token", "n"), percent, few).distinct()
