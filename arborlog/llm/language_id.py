@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import crc_remainder, text_buffer
+from .textkit import crc_remainder, small_batches, text_buffer
 
 #: Bytes in a window.  A text is read whole, window after window; states start anew at each.
 WINDOW = 64
@@ -222,7 +222,7 @@ def predict_language(docs: DataFrame, model: BytesGru | None, lang_col: str = "l
             names = [n for n in batch.schema.names if n != "__letters"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score)], [*names, lang_col, score_col])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def language_id(docs: DataFrame, held_out: int = 2, folds: int = 4) -> DataFrame:

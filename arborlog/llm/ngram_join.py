@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .textkit import LOWER, chunks, fold, map_batches, mix, shingle_hashes, small, text_buffer, word_hashes, word_spans, written
+from .textkit import LOWER, chunks, fold, map_batches, mix, shingle_hashes, small, small_batches, text_buffer, word_hashes, word_spans, written
 
 #: Seeds of the token orders.  The first deals out candidates, the others must confirm them.  The second is by hash
 #: alone, the others have rare tokens first.
 ORDER_SEEDS = (0x51ED270B0A1F39C1, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
 #: Seeds of the hash orders whose first tokens alone make the first round of candidates.
 FIRST_SEEDS = (ORDER_SEEDS[1], 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)
+#: Shingles among which a task looks for frequent ones at a time.
+BLOCK = 4_000_000
 #: Tokens at most in the list of frequent ones, which come last in every order.
 FREQUENT = 1 << 18
 
@@ -70,27 +72,48 @@ def _lists(parts: list[np.ndarray], kind) -> pa.Array:
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """Of every document its size, a 128-bit signature of its set and its first tokens in some hash orders; of every batch its frequent shingles."""
+    """Of every document its size, a 128-bit signature of its set and its first tokens in some hash orders; of every BLOCK shingles the frequent ones."""
     schema = "doc_id long, n long, s1 long, s2 long, firsts array<long>"
     names = ["doc_id", "n", "s1", "s2", "firsts"]
 
-    def f(batch):
-        sets = document_sets(batch.column("text"), k)
+    def rows(batch, sets):
         n = np.array([len(s) for s in sets], np.int64)
         s1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
         s2 = np.array([mix(s ^ np.uint64(ORDER_SEEDS[2])).sum(dtype=np.uint64) for s in sets], np.uint64)
         firsts = _lists([np.array([mix(s ^ np.uint64(seed)).min() for seed in FIRST_SEEDS], np.uint64) if len(s) else NONE for s in sets], np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), as_long(s1), as_long(s2), firsts], names)
-        every = np.sort(np.concatenate(sets))
-        if len(every):
-            at = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True])))
-            count = np.diff(at)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), as_long(s1), as_long(s2), firsts], names)
+
+    def frequent(sets):
+        # an eighth of the hash range at a time, so the sorted copy is small
+        cuts = np.arange(1, 8, dtype=np.uint64) << np.uint64(61)
+        at = [np.concatenate(([0], np.searchsorted(s, cuts), [len(s)])) for s in sets]
+        for q in range(8):
+            every = np.sort(np.concatenate([s[a[q] : a[q + 1]] for s, a in zip(sets, at)]))
+            if not len(every):
+                continue
+            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True])))
+            count = np.diff(first)
             top = count >= 3
-            t, c = every[at[:-1][top]], count[top]
+            t, c = every[first[:-1][top]], count[top]
             none = pa.nulls(len(t), pa.int64())
             yield pa.RecordBatch.from_arrays([none, pa.array(-c), as_long(t), none, pa.nulls(len(t), pa.list_(pa.int64()))], names)
 
-    return map_batches(docs, f, schema)
+    def run(it):
+        held, size = [], 0
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            sets = document_sets(batch.column("text"), k)
+            yield rows(batch, sets)
+            held += sets
+            size += sum(map(len, sets))
+            if size > BLOCK:
+                yield from frequent(held)
+                held, size = [], 0
+        if held:
+            yield from frequent(held)
+
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def prefix_rows(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:

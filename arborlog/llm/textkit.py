@@ -144,6 +144,16 @@ def per_document(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return c[off[1:]] - c[off[:-1]]
 
 
+#: Rows of an Arrow batch: texts of ordinary length are a few MB then, on either side of the socket.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches limited, so that workers' memory does not depend on its settings."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def map_batches(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with ``f(batch) -> batches``, from batch to batch."""
 
@@ -152,7 +162,7 @@ def map_batches(df: DataFrame, f: Callable, schema: str) -> DataFrame:
             if batch.num_rows:
                 yield from f(batch)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 #: Rows in a broadcast table that is known to be no larger; beyond it the join shuffles.
