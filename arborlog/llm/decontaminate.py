@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, chunks, code_point_offsets, map_batches, mix, shingle_hashes, text_buffer, word_hashes, word_spans
+from .textkit import LOWER, chunks, code_point_offsets, map_batches, mix, shingle_hashes, small, text_buffer, word_hashes, word_spans, written
 
 #: Here a word is a run of letters and digits; punctuation and case do not count.
 PLAIN = np.zeros(256, bool)
@@ -226,8 +226,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.15, repetition
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """docs without those in which a benchmark item stands; a document with a null id stays."""
-    found = leaks(docs, benchmark, **kw).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    found = written(leaks(docs, benchmark, **kw).select("doc_id").distinct())
+    return docs.join(small(found, found.count()), "doc_id", "left_anti").select(docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

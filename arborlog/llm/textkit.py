@@ -7,6 +7,8 @@ of whole-buffer numpy passes, so cost per byte is flat and memory is a small mul
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -154,6 +156,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the system, as idle workers stay beside the busy ones."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with ``f(batch) -> batches``, from batch to batch."""
 
@@ -161,6 +170,7 @@ def map_batches(df: DataFrame, f: Callable, schema: str) -> DataFrame:
         for batch in it:
             if batch.num_rows:
                 yield from f(batch)
+        give_back()
 
     return small_batches(df).mapInArrow(run, schema)
 
