@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import written
+from .textkit import small, written
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,10 +24,29 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u")
-        small = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small)
+        starred = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        edges = written(starred)
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if tuple(row) == before:
             break
         before = tuple(row)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def merged_components(found: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``found`` (node, component) after more links: only components that a new link joins are worked on.
+
+    Ends of links become their components first, so the steps run over a graph of components, which
+    a new link between two of the same leaves as it is.  Same result as all links at once.
+    """
+    n = found.count()
+
+    def end(x):
+        return small(found.select(F.col("node").alias(x), F.col("component").alias(f"__{x}")), n)
+
+    met = links.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).join(end(a), a, "left").join(end(b), b, "left")
+    joined = written(connected_components(met.select(F.coalesce(f"__{a}", a).alias("a"), F.coalesce(f"__{b}", b).alias("b"))))
+    n_joined = joined.count()
+    to = joined.select(F.col("node").alias("component"), F.col("component").alias("__to"))
+    moved = found.join(small(to, n_joined), "component", "left").select("node", F.coalesce("__to", "component").alias("component"))
+    return written(moved.unionByName(joined.join(small(found.select("node"), n), "node", "left_anti")))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, merged_components
 from .textkit import LOWER, chunks, fold, map_batches, mix, shingle_hashes, small, small_batches, text_buffer, word_hashes, word_spans, written
 
 #: Seeds of the token orders.  The first deals out candidates, the others must confirm them.  The second is by hash
@@ -370,8 +370,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     rows = written(shared_tokens(rows.repartition("token").sortWithinPartitions("token")))
     alone = known.where("n > 0 and doc_id is not null").select("doc_id", "n", "firsts")
     first = written(first_round(alone.join(small(copies, copies.count()), "doc_id", "left_anti"), percent))
-    links = verified(texts, first, k, percent, frequent, rank)
-    found = connected_components(links)
+    found = written(connected_components(verified(texts, first, k, percent, frequent, rank)))
     tested = first
     for few in (4, 1, 0):
         n_found = found.count()
@@ -380,8 +379,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         more = written(more.join(tested, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             tested = tested.union(more)
-            links = links.union(verified(texts, more, k, percent, frequent, rank))
-            found = connected_components(links)
+            links = verified(texts, more, k, percent, frequent, rank)
+            if not links.isEmpty():
+                found = merged_components(found, links)
     return (
         members.join(small(found, found.count()), F.col("class_id") == F.col("node"), "left")
         .select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborlog.llm import chat_format, decontaminate, language_id, license_scan, ngram_join, private_data, quality_model, quality_rules, source_mix, url_reputation
-from arborlog.llm.components import connected_components
+from arborlog.llm.components import connected_components, merged_components
 
 WORDS = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in ("", "n", "r", "st", "le")]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, token string, size int, host string"
@@ -110,6 +110,11 @@ def test_components(spark):
             a, b = sorted((find(a), find(b)))
             parent[b] = a
     assert got == {x: find(x) for link in links if None not in link and link[0] != link[1] for x in link}
+    df, found = (lambda part: spark.createDataFrame(part, "a long, b long")), connected_components(spark.createDataFrame(links[::3], "a long, b long"))
+    for part in (links[1::3], links[2::3], links[:5], [(None, 3)]):
+        found = merged_components(found, df(part))
+    rows = [tuple(r) for r in found.collect()]
+    assert dict(rows) == got and len(rows) == len(got)
 
 
 # ---- 2
