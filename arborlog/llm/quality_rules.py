@@ -14,12 +14,12 @@ _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(b"#*$%&|<>")] = True
 #: Buckets of the sketch grow by this factor: quantiles are right within one percent.
 GAMMA = 1.02
-#: Feature -> (as a fraction of, hard floor below which no document fails).
+#: Feature -> (part, whole, guard: the limit of a group in which the feature is as good as never above 0).
 FEATURES = {
-    "symbol_rate": ("n_symbols", "n_words", 1.0),
-    "dup_line_rate": ("n_dup_lines", "n_lines", 0.5),
-    "repeat_rate": ("n_repeat_words", "n_words", 0.2),
-    "word_length": ("word_chars", "n_words", 12.0),
+    "symbol_rate": ("n_symbols", "n_words", 0.01),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 0.01),
+    "repeat_rate": ("n_repeat_words", "n_words", 0.01),
+    "word_length": ("word_chars", "n_words", 0.0),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
@@ -98,8 +98,16 @@ def _quantile(q: float):
     return f"cast(element_at(filter(h, x -> x.upto >= {q} * total), 1).bucket as int)"
 
 
+def _quantile_above_zero(q: float):
+    return f"cast(get(filter(h, x -> x.bucket > 0 and x.upto - zeros >= {q} * (total - zeros)), 0).bucket as int)"
+
+
 def thresholds(sketch: DataFrame, least: int = 200, fences: float = 3.0) -> DataFrame:
-    """(lang, source, limit of each feature): the upper quartile plus ``fences`` interquartile ranges, at least the floor.
+    """(lang, source, limit of each feature): the upper quartile plus ``fences`` interquartile ranges.
+
+    The range counts as one bucket at least, as the sketch sees no less.  Where the upper quartile is 0, so
+    that most documents have none of the feature, the limit is the lower quartile of those that have
+    some.  Only a limit below the guard is raised to it.
 
     A group of fewer than ``least`` documents takes its language's sketch, and a language of fewer the
     whole corpus's: the sketches of larger groups are sums of the small ones' buckets.
@@ -110,12 +118,15 @@ def thresholds(sketch: DataFrame, least: int = 200, fences: float = 3.0) -> Data
     by_all = by_lang.groupBy("feature", "bucket").agg(F.sum("c").alias("c"))
 
     def limits(level: DataFrame, keys: list[str], name: str) -> DataFrame:
-        hist = level.groupBy("feature", *keys).agg(F.sort_array(F.collect_list(F.struct("bucket", "c"))).alias("b"), F.sum("c").alias("total"))
+        hist = level.groupBy("feature", *keys).agg(F.sort_array(F.collect_list(F.struct("bucket", "c"))).alias("b"), F.sum("c").alias("total"), F.sum(F.when(F.col("bucket") == 0, F.col("c")).otherwise(0)).alias("zeros"))
         summed = "transform(sequence(1, size(b)), i -> named_struct('bucket', b[i - 1].bucket, 'upto', aggregate(slice(b, 1, i), 0L, (s, x) -> s + x.c)))"
         hist = hist.withColumn("h", F.expr(summed))
-        value = lambda q: F.when(F.expr(_quantile(q)) == 0, F.lit(0.0)).otherwise(1e-4 * F.pow(F.lit(GAMMA), F.expr(_quantile(q))))
-        floor = F.create_map(*(x for f, (_, _, low) in FEATURES.items() for x in (F.lit(f), F.lit(low))))[F.col("feature")]
-        return hist.select("feature", *keys, F.col("total").alias(f"n_{name}"), F.greatest(floor, value(0.75) + fences * (value(0.75) - value(0.25))).alias(name))
+        value = lambda bucket: F.when(F.coalesce(F.expr(bucket), F.lit(0)) == 0, F.lit(0.0)).otherwise((1 + 1e-9) * 1e-4 * F.pow(F.lit(GAMMA), F.expr(bucket)))
+        guard = F.create_map(*(x for f, (_, _, low) in FEATURES.items() for x in (F.lit(f), F.lit(low))))[F.col("feature")]
+        low, high = value(_quantile(0.25)), value(_quantile(0.75))
+        fence = high + fences * F.greatest(high - low, (GAMMA - 1) * high)
+        limit = F.when(high > 0, fence).otherwise(value(_quantile_above_zero(0.25)))
+        return hist.select("feature", *keys, F.col("total").alias(f"n_{name}"), F.greatest(guard, limit).alias(name))
 
     own, lang, every = limits(rolled, ["lang", "source"], "own"), limits(by_lang, ["lang"], "in_lang"), limits(by_all, [], "in_all")
     joined = own.alias("o").join(lang.alias("l"), (F.col("o.feature") == F.col("l.feature")) & F.col("o.lang").eqNullSafe(F.col("l.lang"))).join(every.alias("e"), F.col("o.feature") == F.col("e.feature"))

@@ -228,6 +228,24 @@ def test_sketch_quantiles(spark):
     assert exact > quality_rules.FEATURES["symbol_rate"][2] and limit == pytest.approx(exact, rel=0.03)
 
 
+def test_limits_come_from_the_sketch_of_the_group(spark):
+    rng = random.Random(26)
+    plain = [prose(rng, 100) for _ in range(440)]
+    few = [prose(rng, 99) + " " + "#" * (2 + k % 20) for k in range(40)]
+    many = [prose(rng, 99) + " " + "#" * (40 + k) for k in range(40)]
+    long = ["".join(prose(rng, 3).split()) + " " + " ".join("".join(prose(rng, 2).split()) for _ in range(99)) for _ in range(5)]
+    rows = [(i, t, "en", "a" if i % 2 else "b") for i, t in enumerate(plain)] + [(1000 + i, t, "en", "a") for i, t in enumerate(few)] + [(2000 + i, t, "en", "b") for i, t in enumerate(many)] + [(3000 + i, t, "en", "a") for i, t in enumerate(long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counts = quality_rules.measured(docs)
+    limits = {r["source"]: r for r in quality_rules.thresholds(quality_rules.sketches(counts)).collect()}
+    for source, part in (("a", few), ("b", many)):
+        exact = np.quantile([t.count("#") / 100 for t in part], 0.25, method="inverted_cdf")
+        assert limits[source]["max_symbol_rate"] == pytest.approx(exact, rel=0.03)
+    failed = {r["doc_id"]: r["failed"] for r in quality_rules.quality_rules(docs).collect()}
+    assert failed[2000] == [] and "symbol_rate" in failed[1019] and "symbol_rate" in failed[2039]
+    assert all(failed[3000 + i] == ["word_length"] for i in range(5)) and not any(failed[i] for i in range(440))
+
+
 # ---- 6
 
 
