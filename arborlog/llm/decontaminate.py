@@ -1,4 +1,4 @@
-"""Operator 2: benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification."""
+"""Operator 2: benchmark decontamination by a lossless bound on shared word pairs and exact edit verification."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, chunks, code_point_offsets, map_batches, mix, shingle_hashes, small, text_buffer, word_hashes, word_spans, written
+from .textkit import LOWER, chunks, code_point_offsets, map_batches, shingle_hashes, small, text_buffer, word_hashes, word_spans, written
 
 #: Here a word is a run of letters and digits; punctuation and case do not count.
 PLAIN = np.zeros(256, bool)
@@ -28,114 +28,74 @@ def plain_words(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 @dataclass
 class Index:
-    """Items of a benchmark in LSH tables over their embeddings.
+    """Items of a benchmark by their bigrams.
 
-    A sequence x of words is embedded by a random walk: step j gives out x[i] and goes on to i + 1 by a
-    random bit of (repetition, j, x[i]).  An edit shifts the walk for a few steps until it falls in step
-    again, so few edits leave most steps equal.  Each repetition hashes ``bits`` sampled steps.
+    A part of a text within d edits of an item of n words keeps n - 1 - 3 d of its bigrams at least in the
+    n words from its start on: an edit costs two of them, or one and a shifted end.  Items that keep so
+    many in some window of a text are its candidates, so none within d edits is lost.
     """
 
     ids: list
     words: list
     ratio: float
-    repetitions: int
-    bits: int
-    seed: int = 29
 
     def __post_init__(self):
-        rng = np.random.default_rng(self.seed)
         self.lengths = sorted({len(w) for w in self.words})
         self.edits = {n: int(n * self.ratio) for n in self.lengths}
-        #: bigrams that a window of n words keeps at least: an edit, or a shifted end, costs two or one
+        #: bigrams that a window of n words keeps at least
         self.need = {n: max(1, n - 1 - 3 * self.edits[n]) for n in self.lengths}
-        self.enough = np.array([self.need[n] for n in self.lengths])
+        self.fewest = min(self.need.values())
         self.span = min(self.lengths) - 1
         self.dense = min(-(-self.need[n] // -(-(n - 1) // self.span)) for n in self.lengths)
-        self.steps = 2 * max(self.lengths)
-        self.walk = rng.integers(0, 1 << 63, (self.repetitions, self.steps), dtype=np.uint64)
-        pairs = [shingle_hashes(w, 2) for w in self.words]
-        self.bigrams = np.unique(np.concatenate(pairs))
-        self.member = np.zeros((len(self.bigrams), len(self.lengths)), bool)
-        for w, p in zip(self.words, pairs):
-            self.member[np.searchsorted(self.bigrams, p), self.lengths.index(len(w))] = True
-        # steps are sampled from the part of the walk that a sequence of that length surely has
-        self.sampled = {n: np.sort(rng.integers(0, max(1, 2 * n - 4), (self.repetitions, self.bits)), axis=1) for n in self.lengths}
-        self.tables: list[dict] = [{} for _ in range(self.repetitions)]
-        for n in self.lengths:
-            of = [i for i, w in enumerate(self.words) if len(w) == n]
-            for i, row in zip(of, self.keys(np.stack([self.words[i] for i in of]), n).T):
-                for table, key in zip(self.tables, row.tolist()):
-                    table.setdefault(key, []).append(i)
-
-    def keys(self, x: np.ndarray, n: int) -> np.ndarray:
-        """(repetition, sequence) LSH keys of sequences of n words."""
-        m = len(x)
-        padded = np.concatenate((x, np.zeros((m, 1), np.uint64)), axis=1)
-        at = np.zeros((self.repetitions, m), np.int64)
-        key = np.full((self.repetitions, m), n, np.uint64)
-        lane, sampled = np.arange(m), self.sampled[n]
-        for j in range(int(sampled.max()) + 1):
-            symbol = padded[lane, np.minimum(at, n)]
-            for r in np.flatnonzero((sampled == j).any(axis=1)):
-                key[r] = mix(key[r] * np.uint64(0x9E3779B97F4A7C15) + symbol[r])
-            at += (mix(symbol ^ self.walk[:, j : j + 1]) >> np.uint64(63)).astype(np.int64)
-        return key
-
-    def windows(self, words: np.ndarray, hits: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(n, starts) of the windows of one text that keep the bigrams of items of n words that d edits must leave.
+        pairs = [np.unique(shingle_hashes(w, 2)) for w in self.words]
+        every, item = np.concatenate(pairs), np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
+        order = np.argsort(every, kind="stable")
+        #: the items of bigram k are ``holders[first[k] : first[k + 1]]``
+        self.bigrams, first = np.unique(every[order], return_index=True)
+        self.first, self.holders = np.append(first, len(every)), item[order]
+
+    def candidates(self, hits: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """item -> runs (first, last) of the starts of all windows of one text that keep enough of its bigrams.
 
         hits: for each bigram of the text its place in ``bigrams``, or -1.
         """
-        out = []
         at = np.flatnonzero(hits >= 0)
-        mine = self.member[hits[at]]
-        for k in np.flatnonzero(mine.sum(axis=0) >= self.enough).tolist():
-            n = self.lengths[k]
-            if len(words) < n - self.edits[n]:
+        if len(at) < self.fewest:
+            return {}
+        k = hits[at]
+        n_holders = self.first[k + 1] - self.first[k]
+        begin = np.cumsum(n_holders) - n_holders
+        item = self.holders[np.repeat(self.first[k] - begin, n_holders) + np.arange(n_holders.sum())]
+        order = np.argsort(item, kind="stable")
+        item, places = item[order], np.repeat(at, n_holders)[order]
+        of, lo = np.unique(item, return_index=True)
+        out = {}
+        for i, a, b in zip(of.tolist(), lo.tolist(), [*lo[1:].tolist(), len(item)]):
+            n = len(self.words[i])
+            p, need = places[a:b], self.need[n]
+            if len(p) < need:
                 continue
-            c = np.zeros(len(hits) + 1, np.int64)
-            c[at[mine[:, k]] + 1] = 1
-            c = np.cumsum(c)
-            end = np.minimum(np.arange(len(c)) + n - 1, len(c) - 1)
-            starts = np.flatnonzero(c[end] - c >= self.need[n])
-            if len(starts):
-                out.append((n, starts))
+            one, other = p[: len(p) - need + 1], p[need - 1 :]
+            ok = other - one <= n - 2
+            runs: list[tuple[int, int]] = []
+            for x, y in zip(np.maximum(0, other[ok] - (n - 2)).tolist(), one[ok].tolist()):
+                if runs and x <= runs[-1][1] + 1:
+                    runs[-1] = (runs[-1][0], y)
+                else:
+                    runs.append((x, y))
+            if runs:
+                out[i] = runs
         return out
 
-    def candidates(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> dict[tuple[int, int], list[int]]:
-        """(text, item) -> starts of the windows that meet the item in a table, for texts of (words, hits)."""
-        by_length: dict[int, list] = {}
-        for t, (words, hits) in enumerate(texts):
-            for n, starts in self.windows(words, hits):
-                tail = np.concatenate((words, np.zeros(n, np.uint64)))
-                by_length.setdefault(n, []).append((np.full(len(starts), t), starts, tail[starts[:, None] + np.arange(n)]))
-        close: dict[tuple[int, int], set] = {}
-        for n, parts in by_length.items():
-            of, starts, x = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            of, starts = of.tolist(), starts.tolist()
-            for table, row in zip(self.tables, self.keys(x, n)):
-                known = np.array(list(table), np.uint64)
-                for w in np.flatnonzero(np.isin(row, known)).tolist():
-                    for i in table[int(row[w])]:
-                        close.setdefault((of[w], i), set()).add(starts[w])
-        return {k: sorted(v) for k, v in close.items()}
-
-    def verify(self, item: int, words: np.ndarray, starts: list[int]) -> tuple[int, int, int] | None:
-        """(distance, first word, word after the last) of the item's best part at the candidate windows."""
-        mine, best, done = self.words[item], None, -1
+    def verify(self, item: int, words: np.ndarray, runs: list[tuple[int, int]]) -> tuple[int, int, int] | None:
+        """(distance, first word, word after the last) of the item's best part that starts in one of the runs."""
+        mine, best = self.words[item], None
         n = len(mine)
         d = self.edits[n]
-        for s in starts:
-            if s < done:
-                continue
-            lo = max(0, s - d)
-            dist, a, b = best_match(mine, words[lo : s + n + d])
+        for first, last in runs:
+            dist, a, b = best_match(mine, words[first : last + n + d])
             if dist <= d:
-                # the window may have cut it off: align once more around the place
-                lo = max(0, lo + a - d)
-                dist, a, b = best_match(mine, words[lo : lo + n + 3 * d])
-                done = lo + b
-                best = min(best or (n, 0, 0), (dist, lo + a, lo + b))
+                best = min(best or (n, 0, 0), (dist, first + a, first + b))
         return best
 
 
@@ -163,7 +123,7 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 def _search(docs: DataFrame, index: Index) -> DataFrame:
     def f(batch):
         ids = batch.column("doc_id").to_pylist()
-        out, texts, places = [], [], []
+        out = []
         for a, _, b, o in chunks(*text_buffer(batch.column("text"))):
             words, starts, ends, at = plain_words(b, o)
             if len(words) < 2:
@@ -177,29 +137,24 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
             docs_near = np.unique(np.searchsorted(at, np.flatnonzero(near), "right") - 1)
             for i in docs_near[docs_near < len(o) - 1].tolist():
                 lo, hi = int(at[i]), int(at[i + 1])
-                raw = b[o[i] : o[i + 1]]
-                texts.append((words[lo:hi], hits[lo : max(lo, hi - 1)]))
-                places.append((ids[a + i], raw, starts[lo:hi] - o[i], ends[lo:hi] - o[i]))
-        for (t, item), where in index.candidates(texts).items():
-            best = index.verify(item, texts[t][0], where)
-            if best:
-                doc, raw, starts, ends = places[t]
-                points = code_point_offsets(raw)
-                out.append((doc, index.ids[item], best[0], int(points[starts[best[1]]]), int(points[ends[best[2] - 1]])))
+                for item, runs in index.candidates(hits[lo : max(lo, hi - 1)]).items():
+                    best = index.verify(item, words[lo:hi], runs)
+                    if best:
+                        points = code_point_offsets(b[o[i] : o[i + 1]])
+                        out.append((ids[a + i], index.ids[item], best[0], int(points[starts[lo + best[1]] - o[i]]), int(points[ends[lo + best[2] - 1] - o[i]])))
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "distance", "start", "end"])
 
     return map_batches(docs, f, "doc_id long, item_id long, distance int, start long, end long")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.15, repetitions: int = 16, bits: int = 4) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.15) -> DataFrame:
     """(doc_id, item_id, distance, start, end): benchmark items (item_id, text) that stand in documents (doc_id, text).
 
     An item of n words stands in a text if some part of it is within int(ratio * n) word edits; case
-    and punctuation do not count.  Windows of the item's size that keep enough of its word pairs for
-    that many edits (none is lost) are embedded; those that meet the item in one of the LSH tables are
-    verified by exact edit distance; the nearest part comes back with its code points.  The chance to
-    meet is 1 - (1 - p^bits)^repetitions for a share p of equal steps: over 0.99 from p = 0.72 on.
+    and punctuation do not count.  Items that share enough word pairs with some window for that many
+    edits (none is lost) are verified by exact edit distance wherever they do; the nearest part comes
+    back with its code points.
 
     Items of fewer than SHORTEST words, null and empty texts match nothing; rows that repeat a doc_id
     come back each; other columns are ignored; an empty table gives no rows.  Items are taken BLOCK at a
@@ -220,7 +175,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.15, repetition
                     ids.append(rows[a + i]["item_id"])
                     words.append(h[at[i] : at[i + 1]])
         if ids:
-            out = out.unionByName(_search(docs, Index(ids, words, ratio, repetitions, bits)))
+            out = out.unionByName(_search(docs, Index(ids, words, ratio)))
     return out
 
 

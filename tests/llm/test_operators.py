@@ -139,6 +139,24 @@ def test_decontaminate(spark):
     assert decontaminate.leaks(spark.createDataFrame([], SCHEMA), bench).count() == 0
 
 
+@pytest.mark.parametrize("kinds", ["d", "i", "s", "dis"])
+def test_leaks_are_found_at_the_full_edit_budget(spark, kinds):
+    rng = random.Random(27)
+    items = [prose(rng, 15 + k % 45) for k in range(180)]
+
+    def budget(text):
+        words = text.split(" ")
+        for _ in range(int(0.15 * len(words))):
+            kind, i = rng.choice(kinds), rng.randrange(len(words))
+            words[i : i + (kind != "i")] = [] if kind == "d" else [f"new{rng.randrange(10**6)}"]
+        return " ".join(words)
+
+    docs = [prose(rng, rng.randint(0, 40)) + " " + budget(t) + " " + prose(rng, rng.randint(0, 40)) for t in items]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table(spark, docs), bench).collect()}
+    assert got >= {(i, i) for i in range(180)}
+
+
 def test_best_match_is_the_edit_distance():
     rng = random.Random(8)
 
