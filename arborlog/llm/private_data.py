@@ -20,8 +20,6 @@ KINDS = ("email", "ip", "card", "phone", "secret", "term")
 BASE = KINDS[:4]
 #: Terms at most that are looked up in memory; more are joined.
 IN_MEMORY = 1_000_000
-#: Words on each side of personal data that count as its context.
-CONTEXT = 8
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -118,9 +116,10 @@ def _digest(text: str) -> int:
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """(entity, term, n): in how many documents of a batch a term is within CONTEXT words of an entity; term 0 is the entity itself.
+    """(entity, term, n): in how many documents of a batch a term stands beside an entity; term 0 is the entity itself.
 
-    An entity is one personal datum's lower-cased text.  A row with a null entity counts documents.
+    An entity is one personal datum's lower-cased text; its terms are the words of the whole document that
+    overlap no personal datum.  A row with a null entity counts documents.
     """
 
     def f(batch):
@@ -131,13 +130,14 @@ def contexts(docs: DataFrame) -> DataFrame:
                 if not spans:
                     continue
                 w = Words(b[o[i] : o[i + 1]], np.array([0, o[i + 1] - o[i]]))
-                seen = set()
+                free = np.ones(len(w.hash), bool)
                 for start, end, _ in spans:
-                    entity = _digest(text[start:end].lower())
+                    free[np.searchsorted(w.end, start, "right") : np.searchsorted(w.start, end)] = False
+                terms = np.unique(w.hash[free].view(np.int64)).tolist()
+                seen = set()
+                for entity in {_digest(text[start:end].lower()) for start, end, _ in spans}:
                     seen.add((entity, 0))
-                    lo, hi = np.searchsorted(w.end, start, "right"), np.searchsorted(w.start, end)
-                    near = np.concatenate((w.hash[max(0, lo - CONTEXT) : lo], w.hash[hi : hi + CONTEXT]))
-                    seen.update((entity, t) for t in near.view(np.int64).tolist())
+                    seen.update((entity, t) for t in terms)
                 pairs.update(seen)
         keys = list(pairs)
         entity = pa.array([None, *(k[0] for k in keys)], pa.int64())
@@ -174,25 +174,34 @@ def term_counts(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
     return map_batches(docs.select("text"), f, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing_terms(docs: DataFrame, support: int = 3, share: float = 0.9) -> DataFrame:
+def _chance(n_et, n_e, n, total: float):
+    """ln of a bound on the chance that n_et or more of an entity's n_e documents hold a term of n: Hoeffding's, by relative entropy."""
+    a, p = n_et / n_e, n / F.lit(total)
+    return -n_e * (a * F.ln(a / p) + F.when((a < 1) & (p < 1), (1 - a) * F.ln((1 - a) / (1 - p))).otherwise(0.0))
+
+
+def disclosing_terms(docs: DataFrame, alpha: float = 0.05, share: float = 0.9) -> DataFrame:
     """(term, always): terms that reveal an entity, by co-occurrence over the whole corpus.
 
     PMI(entity; term) = log2(N n(e,t) / (n(e) n(t))) in documents; a term discloses an entity if its PMI
-    is ``share`` of the entity's information log2(N / n(e)) at least, with ``support`` documents that
-    have both.  always: the term has all of the entity's information, so it never stands without it.
+    is ``share`` of the entity's information log2(N / n(e)) at least, and if so many common documents
+    would come by chance with ``alpha`` at most, over all terms of the entity together.  Entities of one
+    document count too.  always: the term has all of the entity's information, so it never stands without it.
     """
     found = written(contexts(docs).groupBy("entity", "term").agg(F.sum("n").alias("n")))
-    total = found.where("entity is null").agg(F.sum("n")).first()[0] or 0
-    entities = found.where(f"term = 0 and entity is not null and n >= {support}").select("entity", F.col("n").alias("n_e"))
-    both = written(found.where(f"term <> 0 and n >= {support}").join(entities, "entity").select("entity", "term", F.col("n").alias("n_et"), "n_e"))
+    total = float(found.where("entity is null").agg(F.sum("n")).first()[0] or 0)
+    entities = found.where("entity is not null").groupBy("entity").agg(F.max(F.when(F.col("term") == 0, F.col("n"))).alias("n_e"), F.sum(F.when(F.col("term") != 0, 1).otherwise(0)).alias("n_terms"))
+    likely = lambda n: F.ln("n_terms") + _chance(F.col("n_et"), F.col("n_e"), F.col(n), total) <= math.log(alpha)
+    # a term has n_et documents at least: what may be chance with so few will not do
+    both = written(found.where("entity is not null and term <> 0").withColumnRenamed("n", "n_et").join(entities, "entity").where((F.col("n_e") < total) & likely("n_et")).select("entity", "term", "n_et", "n_e", "n_terms"))
     candidates = both.select("term").distinct()
     n = candidates.count()
     if n <= IN_MEMORY:
         counts = term_counts(docs, np.sort(np.array([r["term"] for r in candidates.collect()], np.int64)))
     else:
         counts = term_counts(docs, None).join(candidates, "term", "left_semi")
-    scored = both.join(counts, "term").withColumn("gain", F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n")))).withColumn("whole", F.log2(F.lit(float(total)) / F.col("n_e")))
-    return written(scored.where((F.col("whole") > 0) & (F.col("gain") >= share * F.col("whole"))).groupBy("term").agg(F.max((F.col("n_et") >= F.col("n")).cast("int")).alias("always")))
+    scored = both.join(counts, "term").withColumn("gain", F.log2(F.lit(total) * F.col("n_et") / (F.col("n_e") * F.col("n")))).withColumn("whole", F.log2(F.lit(total) / F.col("n_e")))
+    return written(scored.where((F.col("gain") >= share * F.col("whole")) & likely("n")).groupBy("term").agg(F.max((F.col("n_et") >= F.col("n")).cast("int")).alias("always")))
 
 
 def _listed(spans) -> str:
@@ -225,7 +234,7 @@ def _known_terms(docs: DataFrame, **kw) -> np.ndarray:
     terms = disclosing_terms(docs, **kw)
     n = terms.count()
     if n > IN_MEMORY:
-        raise ValueError(f"{n} disclosing terms; raise support or IN_MEMORY ({IN_MEMORY})")
+        raise ValueError(f"{n} disclosing terms; lower alpha or raise IN_MEMORY ({IN_MEMORY})")
     return np.sort(np.array([r["term"] for r in terms.collect()], np.int64))
 
 

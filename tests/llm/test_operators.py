@@ -334,6 +334,15 @@ def test_private_data_over_the_corpus(spark):
     assert private_data.private_spans(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_terms_of_rare_entities_over_the_whole_text(spark):
+    rng = random.Random(28)
+    plain = [prose(rng, 60) for _ in range(1500)]
+    docs = plain + ["quixnard " + prose(rng, 20) + " ann@corp.example", *("vlimpet " + prose(rng, 15) + " joe@corp.example " + prose(rng, 15) for _ in range(2))]
+    out = {r["doc_id"]: r for r in private_data.private_spans(table(spark, docs)).collect()}
+    assert [out[1500 + k]["spans"].split(",")[0] for k in range(3)] == ["term:0:8", "term:0:7", "term:0:7"]
+    assert [out[1500 + k]["n_term"] for k in range(3)] == [1, 1, 1] and all(out[i]["n_term"] == 0 for i in range(1500))
+
+
 # ---- 8
 
 
