@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, chunks, code_point_offsets, map_batches, text_buffer, word_hashes, word_spans, written
+from .textkit import LOWER, chunks, code_point_offsets, map_batches, small, text_buffer, word_hashes, word_spans, written
 
 #: Kinds in the order in which spans of one start are listed; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "secret", "term")
 BASE = KINDS[:4]
-#: Terms at most that are looked up in memory; more are joined.
+#: Terms at most that are looked up in memory at once; more are joined, or looked up block by block.
 IN_MEMORY = 1_000_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -208,34 +209,73 @@ def _listed(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def _span_batches(df: DataFrame, terms: np.ndarray, f, schema) -> DataFrame:
-    """f(batch, spans of each row) -> batch, for the spans of all kinds; ``terms`` are sorted hashes."""
+def _hits(b: np.ndarray, o: np.ndarray, terms: np.ndarray):
+    """(document, start, end) of the words of a chunk that are among the sorted terms."""
+    w = Words(b, o)
+    h = w.hash.view(np.int64)
+    at = np.searchsorted(terms, h)
+    at[at == len(terms)] = 0
+    for j in np.flatnonzero(terms[at] == h).tolist():
+        yield int(np.searchsorted(w.at, j, "right")) - 1, int(w.start[j]), int(w.end[j])
+
+
+def _text_key():
+    return F.concat_ws(" ", F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), F.length("text"))
+
+
+def _found_terms(df: DataFrame, blocks: list[np.ndarray]) -> DataFrame:
+    """(key, hits): by _text_key, starts and ends of the terms of all blocks in a text that has some; one pass a block."""
+
+    def within(terms: np.ndarray):
+        def f(batch):
+            keys, out = batch.column("key").to_pylist(), []
+            for a, _, b, o in chunks(*text_buffer(batch.column("text"))):
+                out += [(keys[a + i], start, end) for i, start, end in _hits(b, o, terms)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["key", "start", "end"])
+
+        return f
+
+    texts = df.select("text", _text_key().alias("key"))
+    parts = [written(map_batches(texts, within(terms), "key string, start long, end long")) for terms in blocks]
+    return reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("h")).select("key", F.flatten(F.transform("h", lambda x: F.array(x["start"], x["end"]))).alias("hits"))
+
+
+def _span_batches(df: DataFrame, blocks: list[np.ndarray], f, schema) -> DataFrame:
+    """f(batch, spans of each row) -> batch, for the spans of all kinds; ``blocks`` are sorted hashes of terms.
+
+    One block is looked up in the same pass.  Of more, what is found comes back to the texts by a join.
+    """
+    inside = blocks[0] if len(blocks) == 1 else np.empty(0, np.int64)
+    columns = df.columns
+    if len(blocks) > 1:
+        found = written(_found_terms(df, blocks))
+        rows = df.withColumn("__key", _text_key())
+        df = rows.join(small(found, found.count()), rows["__key"] == found["key"], "left").select(*columns, F.col("hits").alias("__hits"))
 
     def g(batch):
         every: list[list] = [[] for _ in range(batch.num_rows)]
         for a, _, b, o in chunks(*text_buffer(batch.column("text"))):
             for i, text in _private_texts(b, o):
                 every[a + i] = known_spans(text)
-            if len(terms):
-                w = Words(b, o)
-                h = w.hash.view(np.int64)
-                at = np.searchsorted(terms, h)
-                at[at == len(terms)] = 0
-                for j in np.flatnonzero(terms[at] == h).tolist():
-                    i = int(np.searchsorted(w.at, j, "right")) - 1
-                    every[a + i] = _without_overlaps(every[a + i], [(int(w.start[j]), int(w.end[j]), "term")])
-        yield f(batch, [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]))) for x in every])
+            if len(inside):
+                for i, start, end in _hits(b, o, inside):
+                    every[a + i] = _without_overlaps(every[a + i], [(start, end, "term")])
+        if len(blocks) > 1:
+            for i, hits in enumerate(batch.column("__hits").to_pylist()):
+                if hits:
+                    every[i] = _without_overlaps(every[i], [(start, end, "term") for start, end in zip(hits[::2], hits[1::2])])
+        yield f(batch.select(columns), [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]))) for x in every])
 
     return map_batches(df, g, schema)
 
 
-def _known_terms(docs: DataFrame, **kw) -> np.ndarray:
-    """Sorted hashes of the disclosing terms; beyond IN_MEMORY an error says so, none is left out."""
+def _known_terms(docs: DataFrame, **kw) -> list[np.ndarray]:
+    """Sorted hashes of the disclosing terms, in blocks of about IN_MEMORY; no block without terms."""
     terms = disclosing_terms(docs, **kw)
-    n = terms.count()
-    if n > IN_MEMORY:
-        raise ValueError(f"{n} disclosing terms; lower alpha or raise IN_MEMORY ({IN_MEMORY})")
-    return np.sort(np.array([r["term"] for r in terms.collect()], np.int64))
+    n = -(-terms.count() // IN_MEMORY)
+    block = F.pmod(F.col("term"), F.lit(n))
+    parts = (terms.where(block == k) if n > 1 else terms for k in range(n))
+    return [np.sort(p.select("term").toArrow().column("term").to_numpy()) for p in parts]
 
 
 def private_spans(docs: DataFrame, **kw) -> DataFrame:

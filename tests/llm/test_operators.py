@@ -343,6 +343,17 @@ def test_terms_of_rare_entities_over_the_whole_text(spark):
     assert [out[1500 + k]["n_term"] for k in range(3)] == [1, 1, 1] and all(out[i]["n_term"] == 0 for i in range(1500))
 
 
+def test_more_terms_than_fit_in_memory(spark, monkeypatch):
+    rng = random.Random(29)
+    docs = [prose(rng, 40) for _ in range(400)] + [f"{prose(rng, 9)} odd{k}x {prose(rng, 9)} u{k}@corp.example rare{k}y" for k in range(8)] + [None, "", "odd1x é rare3y"] * 2
+    df = table(spark, docs)
+    read = lambda: (sorted(map(str, private_data.private_spans(df).collect())), sorted(map(str, private_data.sanitise(df).collect())))
+    want = read()
+    assert sum("n_term=2" in r for r in want[0]) == 6
+    monkeypatch.setattr(private_data, "IN_MEMORY", 5)
+    assert read() == want
+
+
 # ---- 8
 
 
