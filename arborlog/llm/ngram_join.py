@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components, merged_components
-from .textkit import LOWER, chunks, fold, map_batches, mix, shingle_hashes, small, small_batches, text_buffer, word_hashes, word_spans, written
+from .textkit import LOWER, chunks, fold, give_back, map_batches, mix, release, shingle_hashes, small, small_batches, text_buffer, word_hashes, word_spans, written
 
 #: Seeds of the token orders.  The first deals out candidates, the others must confirm them.  The second is by hash
 #: alone, the others have rare tokens first.
@@ -112,6 +112,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                 held, size = [], 0
         if held:
             yield from frequent(held)
+        give_back()
 
     return small_batches(docs).mapInArrow(run, schema)
 
@@ -136,20 +137,9 @@ def prefix_rows(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, ran
     return map_batches(docs, f, "token long, n int, pos int, doc_id long")
 
 
-def packed(tokens: np.ndarray) -> bytes:
-    """The upper 40 bits of each token, sorted, in five bytes each."""
-    return np.ascontiguousarray((np.sort(tokens) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
 def bitmap(tokens: np.ndarray) -> bytes:
-    """A bitmap of eight bits for each token about: a power of two of bits, set at the hash's upper bits."""
-    size = max(64, 1 << (8 * max(1, len(tokens)) - 1).bit_length())
+    """A bitmap of four to eight bits for each token: a power of two of bits, set at the hash's upper bits."""
+    size = max(64, 1 << (4 * max(1, len(tokens)) - 1).bit_length())
     bits = np.zeros(size, bool)
     bits[(tokens >> np.uint64(24)) & np.uint64(size - 1)] = True
     return np.packbits(bits).tobytes()
@@ -165,21 +155,31 @@ def most_shared(x: bytes, nx: int, y: bytes, ny: int) -> int:
     return min(nx - int(np.bitwise_count(a & ~b).sum()), ny - int(np.bitwise_count(b & ~a).sum()))
 
 
-def set_rows(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, bitmap, whole set) of each document; the set holds 40 bits of each shingle's hash.
+def short_prefix(tokens: np.ndarray, seed: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> bytes:
+    """The prefix in one order, 16 bits of each token: sets whose prefixes share no token may seem to, never the reverse."""
+    return np.unique((prefix(tokens, seed, percent, frequent, rank) >> np.uint64(48)).astype("<u2")).tobytes()
 
-    Two sets are compared with each other only, so a wrong match needs two of their own different
-    shingles to agree in 40 bits.
-    """
+
+def share(x: bytes, y: bytes) -> bool:
+    a, b = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+    at = a.searchsorted(b)
+    at[at == len(a)] = 0
+    return bool((a[at] == b).any())
+
+
+def set_rows(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """(doc_id, n, short prefixes of the second and third order, bitmap, whole set) of each document."""
+    orders = ((ORDER_SEEDS[1], NONE, NONE), (ORDER_SEEDS[2], frequent, rank))
 
     def f(batch):
         sets = document_sets(batch.column("text"), k)
         n = pa.array(np.array([len(s) for s in sets], np.int64))
-        table = pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([packed(s) for s in sets], pa.binary())], ["doc_id", "n", "bits", "tokens"])
+        binary = [pa.array([g(s) for s in sets], pa.binary()) for g in (*(lambda s, o=o: short_prefix(s, o[0], percent, *o[1:]) for o in orders), bitmap, np.ndarray.tobytes)]
+        table = pa.RecordBatch.from_arrays([batch.column("doc_id"), n, *binary], ["doc_id", "n", "second", "third", "bits", "tokens"])
         for a in range(0, table.num_rows, 500):
             yield table.slice(a, 500)
 
-    return map_batches(docs, f, "doc_id long, n long, bits binary, tokens binary")
+    return map_batches(docs, f, "doc_id long, n long, second binary, third binary, bits binary, tokens binary")
 
 
 def possible(n1, pos1, n2, pos2, percent: int):
@@ -213,8 +213,9 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
             else:
                 held, last = batch.slice(batch.num_rows - 1), None
             yield batch.filter(pa.array(keep))
+        give_back()
 
-    return rows.mapInArrow(run, rows.schema)
+    return small_batches(rows).mapInArrow(run, rows.schema)
 
 
 def first_round(per_doc: DataFrame, percent: int, block: int = 1000) -> DataFrame:
@@ -232,17 +233,36 @@ def first_round(per_doc: DataFrame, percent: int, block: int = 1000) -> DataFram
     return pairs.select(F.least("doc_id", "x.d").alias("a"), F.greatest("doc_id", "x.d").alias("b")).distinct()
 
 
-def crossings(rows: DataFrame, percent: int, few: int = 0) -> DataFrame:
+#: Documents of a token that one task meets with each other; those of a token with more are dealt out to pairs of parts.
+PART = 4096
+
+
+def open_tokens(rows: DataFrame, part: int = PART) -> DataFrame:
+    """rows (token, n, pos, doc_id, comp) of the tokens whose documents are of several components, with ``i``, ``j``, ``c``.
+
+    A token's documents are hashed to parts of about ``part`` documents; a document of part c comes back
+    for each pair (i, j) of parts with c, so a task holds two parts, and every two documents meet once.
+    """
+    several = rows.groupBy("token").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi"), F.count("*").alias("__m")).where("__lo < __hi").select("token", F.ceil(F.col("__m") / part).cast("int").alias("parts"))
+    kept = rows.join(several, "token").withColumn("c", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    pairs = kept.withColumn("o", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    return pairs.select("token", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "n", "pos", "doc_id", "comp", "c")
+
+
+def crossings(rows: DataFrame, percent: int, few: int = 0, part: int = PART, tasks: int = 1) -> DataFrame:
     """All pairs of documents of different components that meet at a token and can link there.
 
-    Input is sorted by token and n.  A token whose documents are of one component gives nothing.
-    few: at one of ``few`` tokens only, each document outside the token's largest component with one of
-    that component's documents, so rows are no more than the input's.
+    few: at one of ``few`` tokens only, each document outside a part's largest component with one of
+    that component's documents, so rows are no more than the input's.  tasks: partitions at least, as
+    a byte of these rows costs far more time than one of a plain shuffle.
     """
+    keys = ("token", "i", "j")
+    rows = open_tokens(rows.where(F.pmod("token", F.lit(few)) == 0) if few > 1 else rows, part)
+    rows = rows.where("i = j") if few else rows
+    tasks = max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "n").select(*keys, "n", "pos", "doc_id", "comp", "c")
 
-    def some(token, n, pos, doc, comp):
-        if len(n) < 2 or (comp == comp[0]).all() or token % few:
-            return
+    def some(token, n, pos, doc, comp, c):
         comps, count = np.unique(comp, return_counts=True)
         inside = comp == comps[count.argmax()]
         d = doc[inside]
@@ -250,15 +270,16 @@ def crossings(rows: DataFrame, percent: int, few: int = 0) -> DataFrame:
         d = d[(mix((other ^ token ^ few).astype(np.uint64)) % np.uint64(len(d))).astype(np.int64)]
         yield np.minimum(d, other), np.maximum(d, other)
 
-    def pairs(token, n, pos, doc, comp):
-        if len(n) < 2 or (comp == comp[0]).all():
-            return
+    def pairs(token, n, pos, doc, comp, c):
+        across = c[0] != c[-1] or (c != c[0]).any()
         for i in range(len(n) - 1):
             end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
             if end <= i + 1:
                 continue
             j = slice(i + 1, end)
             ok = (comp[j] != comp[i]) & possible(n[i], pos[i], n[j], pos[j], percent)
+            if across:
+                ok &= c[j] != c[i]
             if ok.any():
                 d = doc[j][ok]
                 yield np.minimum(d, doc[i]), np.maximum(d, doc[i])
@@ -270,14 +291,19 @@ def crossings(rows: DataFrame, percent: int, few: int = 0) -> DataFrame:
 
     def run(it):
         held, found, size = None, [], 0
+
+        def group(cols):
+            if len(cols[0]) > 1 and (cols[6] != cols[6][0]).any():
+                yield from meet(cols[0][0], *cols[3:])
+
         for batch in it:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(8)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
-            cut = np.flatnonzero(np.diff(cols[0])) + 1
+            cut = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
             at = [0, *cut.tolist()]
             for x, y in zip(at[:-1], at[1:]):
-                for p in meet(cols[0][x], *(c[x:y] for c in cols[1:])):
+                for p in group([c[x:y] for c in cols]):
                     found.append(p)
                     size += len(p[0])
                     if size > 50_000:
@@ -285,12 +311,12 @@ def crossings(rows: DataFrame, percent: int, few: int = 0) -> DataFrame:
                         found, size = [], 0
             held = [c[at[-1] :] for c in cols]
         if held is not None:
-            for p in meet(held[0][0], *held[1:]):
-                found.append(p)
+            found += group(held)
         if found:
             yield out(found)
+        give_back()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return small_batches(rows).mapInArrow(run, "a long, b long")
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -299,38 +325,36 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """Pairs that share prefix tokens under the other orders too and whose whole sets reach the Jaccard threshold."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    sets = written(set_rows(_only(docs, ids, "left_semi"), k))
-    frequent, at = np.unique(frequent >> np.uint64(24), return_index=True)
-    rank = rank[at]
-    orders = ((ORDER_SEEDS[1], NONE, NONE), (ORDER_SEEDS[2], frequent, rank))
+    """Pairs that share prefix tokens under the other orders too and whose whole sets reach the Jaccard threshold.
 
-    def linked(x: bytes, y: bytes) -> int:
-        x, y = unpacked(x), unpacked(y)
-        for seed, f, r in orders:
-            if not len(np.intersect1d(prefix(x, seed, percent, f, r), prefix(y, seed, percent, f, r))):
-                return 0
-        shared = len(np.intersect1d(x, y))
-        return shared if 100 * shared >= percent * (len(x) + len(y) - shared) else 0
+    The orders' filters are intersected on the short prefixes, together with the bitmaps' bound; whole
+    sets travel for the pairs that are left only.
+    """
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    sets = written(set_rows(_only(docs, ids, "left_semi"), k, percent, frequent, rank))
 
     def worth(batch):
-        x = [batch.column(c).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b")]
-        keep = [100 * (m := most_shared(p, i, q, j)) >= percent * (i + j - m) for i, p, j, q in zip(*x)]
+        x = [batch.column(i).to_pylist() for i in range(2, 10)]
+        keep = [share(p2, q2) and share(p3, q3) and 100 * (m := most_shared(p, i, q, j)) >= percent * (i + j - m) for i, p2, p3, p, j, q2, q3, q in zip(*x)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def side(x, *cols):
         return sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
 
-    met = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    pairs = map_batches(met, worth, "a long, b long")
+    filters = ("n", "second", "third", "bits")
+    met = pairs.join(side("a", *filters), "a").join(side("b", *filters), "b").select("a", "b", *(f"{c}_{x}" for x in "ab" for c in filters))
+    left = written(map_batches(met, worth, "a long, b long"))
 
     def f(batch):
-        shared = np.array([linked(x, y) for x, y in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist())], np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared)], ["a", "b", "shared"]).filter(pa.array(shared > 0))
+        x = ([np.frombuffer(t, np.uint64) for t in batch.column(c).to_pylist()] for c in ("tokens_a", "tokens_b"))
+        size = [(len(np.intersect1d(p, q, assume_unique=True)), len(p) + len(q)) for p, q in zip(*x)]
+        keep = pa.array([100 * m >= percent * (total - m) for m, total in size], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([m for m, _ in size], pa.int64())], ["a", "b", "shared"]).filter(keep)
 
-    both = pairs.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "tokens_a", "tokens_b")
-    return written(map_batches(both, f, "a long, b long, shared long"))
+    both = left.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "tokens_a", "tokens_b")
+    links = written(map_batches(both, f, "a long, b long, shared long"))
+    release(ids, sets, left)
+    return links
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -339,8 +363,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     Two documents link when 100 * intersection >= percent * union of their sets of k-word shingles
     (A-Z lower-cased; fewer than k words: the whole sequence as one).  Documents with equal sets are
     one class, met once.  Classes become candidates when they share a prefix token in a first global
-    order under the length and position bounds; those that share prefix tokens under two further
-    orders too are verified on their whole sets.  Tokens that many documents have come last in all
+    order under the length and position bounds; of those, the ones that share prefix tokens under two
+    further orders too are verified on their whole sets.  Tokens that many documents have come last in all
     orders, so a common passage is in few prefixes.  Candidates are dealt out in rounds: each
     document with some that have the same very first token in a hash order; after components are
     taken, documents outside a token's largest component with some inside; after components are taken
@@ -370,18 +394,22 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     rows = written(shared_tokens(rows.repartition("token").sortWithinPartitions("token")))
     alone = known.where("n > 0 and doc_id is not null").select("doc_id", "n", "firsts")
     first = written(first_round(alone.join(small(copies, copies.count()), "doc_id", "left_anti"), percent))
-    found = written(connected_components(verified(texts, first, k, percent, frequent, rank)))
-    tested = first
+    links = verified(texts, first, k, percent, frequent, rank)
+    found = written(connected_components(links))
+    tested, done, tasks = first, [rows, first, links], -(-rows.count() // 100_000)
     for few in (4, 1, 0):
         n_found = found.count()
-        known_comp = rows.join(small(found, n_found), rows.doc_id == found.node, "left").select("token", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-        more = crossings(known_comp.repartition("token").sortWithinPartitions("token", "n"), percent, few).distinct()
-        more = written(more.join(tested, ["a", "b"], "left_anti"))
+        comp = rows.join(small(found, n_found), rows.doc_id == found.node, "left").select("token", "n", "pos", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+        more = written(crossings(comp, percent, few, tasks=tasks).distinct().join(tested, ["a", "b"], "left_anti"))
+        done.append(more)
         if not more.isEmpty():
             tested = tested.union(more)
             links = verified(texts, more, k, percent, frequent, rank)
+            done.append(links)
             if not links.isEmpty():
+                done.append(found)
                 found = merged_components(found, links)
+    release(*done)
     return (
         members.join(small(found, found.count()), F.col("class_id") == F.col("node"), "left")
         .select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))

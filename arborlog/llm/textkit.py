@@ -150,9 +150,17 @@ def per_document(values: np.ndarray, off: np.ndarray) -> np.ndarray:
 BATCH_ROWS = 2000
 
 
+#: Bytes of an Arrow batch: a batch of very long texts is closed before its rows are full.
+BATCH_BYTES = 8 << 20
+
+
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches limited, so that workers' memory does not depend on its settings."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """df, with the session's Arrow batches limited in rows and bytes; a lower limit of the session's stays."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
     return df
 
 
@@ -190,14 +198,42 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+@contextlib.contextmanager
+def lean(spark: SparkSession):
+    """Within it, the shuffle files of an execution go when it ends, not when the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: its lineage ends there."""
+    """df as a Parquet table in the shared folder, read back: its lineage ends there.  ``release`` deletes it, or the session's end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arborlog-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    with lean(spark):
+        df.write.parquet(path)
+    fs, jvm_path = _file_system(spark, path)
+    fs.deleteOnExit(jvm_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            fs, jvm_path = _file_system(df.sparkSession, path)
+            fs.delete(jvm_path, True)
 
 
 def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:

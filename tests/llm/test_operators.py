@@ -91,7 +91,20 @@ def test_bitmap_bounds_the_intersection():
         x = rng.integers(0, 1 << 63, rng.integers(1, 400), dtype=np.uint64)
         y = np.concatenate((x[: rng.integers(0, len(x) + 1)], rng.integers(0, 1 << 63, rng.integers(0, 400), dtype=np.uint64)))
         assert ngram_join.most_shared(ngram_join.bitmap(x), len(x), ngram_join.bitmap(y), len(y)) >= len(np.intersect1d(x, y))
-        assert (ngram_join.unpacked(ngram_join.packed(x)) == np.sort(x) >> np.uint64(24)).all()
+
+
+def test_large_families_are_met_in_parts(spark, monkeypatch):
+    rng = random.Random(31)
+    base = prose(rng, 120)
+    texts = [edited(rng, base, rng.choice((1, 2, 3, 4))) for _ in range(160)] + [edited(rng, base, 14) for _ in range(20)]
+    sets = sets_of(texts)
+    want = {(i, c) for i, c in enumerate(components_of(sets))}
+    read = lambda: {(r["doc_id"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(table(spark, texts)).collect()}
+    assert read() == want
+    rows = [(t, 100, p, d, d) for t in range(3) for d in range(50) for p in (d % 7,)]
+    df = spark.createDataFrame(rows, "token long, n int, pos int, doc_id long, comp long")
+    whole, parts = ([tuple(r) for r in ngram_join.crossings(df, 80, part=k).collect()] for k in (4096, 8))
+    assert sorted(whole) == sorted(parts) and len(whole) == 3 * 50 * 49 // 2
 
 
 def test_components(spark):
@@ -110,6 +123,7 @@ def test_components(spark):
             a, b = sorted((find(a), find(b)))
             parent[b] = a
     assert got == {x: find(x) for link in links if None not in link and link[0] != link[1] for x in link}
+    assert got == {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long"), in_task=0).collect()}
     df, found = (lambda part: spark.createDataFrame(part, "a long, b long")), connected_components(spark.createDataFrame(links[::3], "a long, b long"))
     for part in (links[1::3], links[2::3], links[:5], [(None, 3)]):
         found = merged_components(found, df(part))
