@@ -153,22 +153,42 @@ def test_decontaminate(spark):
     assert decontaminate.leaks(spark.createDataFrame([], SCHEMA), bench).count() == 0
 
 
+def at_the_budget(rng, text, kinds):
+    words = text.split(" ")
+    for _ in range(int(0.15 * len(words))):
+        kind, i = rng.choice(kinds), rng.randrange(len(words))
+        words[i : i + (kind != "i")] = [] if kind == "d" else [f"new{rng.randrange(10**6)}"]
+    return " ".join(words)
+
+
+def recall_of(kinds, n, trials=60):
+    """Share of items of n words that are found in random prose after edits at the full budget."""
+    import pyarrow as pa
+
+    rng = random.Random(f"{kinds}{n}")
+    items = [prose(rng, n) for _ in range(trials)]
+    words = [decontaminate.plain_words(*decontaminate.text_buffer(pa.array([t])))[0] for t in items]
+    index = decontaminate.Index(list(range(trials)), words, 0.15)
+    texts = [prose(rng, rng.randint(0, 40)) + " " + at_the_budget(rng, t, kinds) + " " + prose(rng, rng.randint(0, 40)) for t in items]
+    found = {(r, i) for r, i, *_ in decontaminate._matches(pa.array(texts), [index])}
+    return sum((i, i) in found for i in range(trials)) / trials
+
+
+@pytest.mark.parametrize("n", [5, 8, 20, 40, 60, 100, 200])
 @pytest.mark.parametrize("kinds", ["d", "i", "s", "dis"])
-def test_leaks_are_found_at_the_full_edit_budget(spark, kinds):
-    rng = random.Random(27)
-    items = [prose(rng, 15 + k % 45) for k in range(180)]
-
-    def budget(text):
-        words = text.split(" ")
-        for _ in range(int(0.15 * len(words))):
-            kind, i = rng.choice(kinds), rng.randrange(len(words))
-            words[i : i + (kind != "i")] = [] if kind == "d" else [f"new{rng.randrange(10**6)}"]
-        return " ".join(words)
-
-    docs = [prose(rng, rng.randint(0, 40)) + " " + budget(t) + " " + prose(rng, rng.randint(0, 40)) for t in items]
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table(spark, docs), bench).collect()}
-    assert got >= {(i, i) for i in range(180)}
+def test_recall_at_the_full_edit_budget(kinds, n):
+    assert recall_of(kinds, n) >= 0.95
+
+
+def test_items_by_id_short_items_null_ids_and_repeated_parts(spark):
+    rng = random.Random(33)
+    long = prose(rng, 30)
+    bench = spark.createDataFrame([(1, long), (1, "two words"), (1, long), (2, "uniqueword"), (3, None), (None, long)], "item_id long, text string")
+    docs = [(None, f"x {long} y"), (7, "has Two, words here"), (7, "has two words here"), (8, f"UNIQUEWORD! {long} " * 400), (9, "two more words")]
+    got = sorted((r["doc_id"] or -1, r["item_id"], r["distance"], r["start"]) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect())
+    assert got == [(-1, 1, 0, 2), (7, 1, 0, 4), (7, 1, 0, 4), (8, 1, 0, 12), (8, 2, 0, 0)]
+    left = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert sorted(r["doc_id"] for r in left.collect()) == [7, 7, 9]
 
 
 def test_best_match_is_the_edit_distance():
