@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
 from collections import Counter
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +14,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, chunks, code_point_offsets, map_batches, small, text_buffer, word_hashes, word_spans, written
+from .textkit import LOWER, chunks, code_point_offsets, map_batches, release, small, text_buffer, word_hashes, word_spans, written
 
 #: Kinds in the order in which spans of one start are listed; the first four are the base.
-KINDS = ("email", "ip", "card", "phone", "secret", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term", "removed")
 BASE = KINDS[:4]
-#: Terms at most that are looked up in memory at once; more are joined, or looked up block by block.
+#: Terms at most that are looked up in memory; more are joined, behind a bitmap of their hashes.
 IN_MEMORY = 1_000_000
+#: log2 of the bits of that bitmap.
+BITMAP_BITS = 25
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -85,7 +87,20 @@ def secret_spans(text: str, bits: float = 80.0) -> list[tuple[int, int, str]]:
 
 def _without_overlaps(first: list, more: list) -> list:
     """first and those of more that overlap none of it."""
-    return first + [s for s in more if not any(s[0] < e and b < s[1] for b, e, _ in first)]
+    ends: list[int] = []
+    starts: list[int] = []
+    for a, e, _ in sorted(first):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(a)
+            ends.append(e)
+
+    def free(s) -> bool:
+        k = bisect.bisect_right(ends, s[0])
+        return k == len(starts) or starts[k] >= s[1]
+
+    return first + [s for s in more if free(s)]
 
 
 def known_spans(text: str) -> list[tuple[int, int, str]]:
@@ -147,8 +162,23 @@ def contexts(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("text"), f, "entity long, term long, n long")
 
 
-def term_counts(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
-    """(term, n): the number of a batch's documents that have a term; of the given sorted terms, or of all words."""
+def _bitmap(terms: DataFrame) -> np.ndarray:
+    """BITMAP_BITS of the terms' hashes: a word whose bit is not set is no term."""
+    place = F.shiftrightunsigned("term", 64 - BITMAP_BITS)
+    words = terms.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(term, {64 - BITMAP_BITS}) & 63 as int))").alias("bit"))
+    got = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    out[got.column("w").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _maybe(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    at = h.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def term_counts(docs: DataFrame, terms: np.ndarray | None, bitmap: np.ndarray | None = None) -> DataFrame:
+    """(term, n): the number of documents that have a term; of the given sorted terms, or of all words in the bitmap."""
 
     def f(batch):
         parts = []
@@ -162,7 +192,9 @@ def term_counts(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
                 at = np.searchsorted(terms, h)
                 at[at == len(terms)] = 0
                 hit = terms[at] == h
-                h, doc = h[hit], doc[hit]
+            else:
+                hit = _maybe(h, bitmap)
+            h, doc = h[hit], doc[hit]
             order = np.lexsort((doc, h))
             h, doc = h[order], doc[order]
             if len(h):
@@ -181,13 +213,16 @@ def _chance(n_et, n_e, n, total: float):
     return -n_e * (a * F.ln(a / p) + F.when((a < 1) & (p < 1), (1 - a) * F.ln((1 - a) / (1 - p))).otherwise(0.0))
 
 
-def disclosing_terms(docs: DataFrame, alpha: float = 0.05, share: float = 0.9) -> DataFrame:
-    """(term, always): terms that reveal an entity, by co-occurrence over the whole corpus.
+def disclosing_terms(docs: DataFrame, alpha: float = 0.05, bits: float = 1.0, removed_bits: float = 0.5) -> DataFrame:
+    """(term, removed): terms that reveal an entity, by co-occurrence over the whole corpus.
 
-    PMI(entity; term) = log2(N n(e,t) / (n(e) n(t))) in documents; a term discloses an entity if its PMI
-    is ``share`` of the entity's information log2(N / n(e)) at least, and if so many common documents
-    would come by chance with ``alpha`` at most, over all terms of the entity together.  Entities of one
-    document count too.  always: the term has all of the entity's information, so it never stands without it.
+    In documents, PMI(entity; term) = log2(N n(e,t) / (n(e) n(t))), and log2(N / n(e)) is the entity's own
+    information; the difference, -log2 P(e|t), is what a reader of the term still lacks.  P is shrunk by
+    one document more that has the term without the entity, n(e,t) / (n(t) + 1), so a few common documents
+    reveal less than many.  A term discloses an entity if no more than ``bits`` are lacking, and if so many
+    common documents would come by chance with ``alpha`` at most, over all terms of the entity together.
+    Entities of one document count too.  removed: ``removed_bits`` at most are lacking, so a more
+    general word would not do.
     """
     found = written(contexts(docs).groupBy("entity", "term").agg(F.sum("n").alias("n")))
     total = float(found.where("entity is null").agg(F.sum("n")).first()[0] or 0)
@@ -196,59 +231,75 @@ def disclosing_terms(docs: DataFrame, alpha: float = 0.05, share: float = 0.9) -
     # a term has n_et documents at least: what may be chance with so few will not do
     both = written(found.where("entity is not null and term <> 0").withColumnRenamed("n", "n_et").join(entities, "entity").where((F.col("n_e") < total) & likely("n_et")).select("entity", "term", "n_et", "n_e", "n_terms"))
     candidates = both.select("term").distinct()
-    n = candidates.count()
-    if n <= IN_MEMORY:
-        counts = term_counts(docs, np.sort(np.array([r["term"] for r in candidates.collect()], np.int64)))
+    if candidates.count() <= IN_MEMORY:
+        counts = term_counts(docs, np.sort(candidates.toArrow().column("term").to_numpy()))
     else:
-        counts = term_counts(docs, None).join(candidates, "term", "left_semi")
-    scored = both.join(counts, "term").withColumn("gain", F.log2(F.lit(total) * F.col("n_et") / (F.col("n_e") * F.col("n")))).withColumn("whole", F.log2(F.lit(total) / F.col("n_e")))
-    return written(scored.where((F.col("gain") >= share * F.col("whole")) & likely("n")).groupBy("term").agg(F.max((F.col("n_et") >= F.col("n")).cast("int")).alias("always")))
+        counts = term_counts(docs, None, _bitmap(candidates)).join(candidates, "term", "left_semi")
+    lacking = -F.log2(F.col("n_et") / (F.col("n") + 1))
+    terms = written(both.join(counts, "term").withColumn("lacking", lacking).where((F.col("lacking") <= bits) & likely("n")).groupBy("term").agg((F.min("lacking") <= removed_bits).alias("removed")))
+    release(found, both)
+    return terms
 
 
 def _listed(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def _hits(b: np.ndarray, o: np.ndarray, terms: np.ndarray):
-    """(document, start, end) of the words of a chunk that are among the sorted terms."""
-    w = Words(b, o)
-    h = w.hash.view(np.int64)
-    at = np.searchsorted(terms, h)
-    at[at == len(terms)] = 0
-    for j in np.flatnonzero(terms[at] == h).tolist():
-        yield int(np.searchsorted(w.at, j, "right")) - 1, int(w.start[j]), int(w.end[j])
+class Terms:
+    """Terms that are looked up in memory: sorted hashes, and whether each is to be removed."""
+
+    def __init__(self, rows: pa.Table):
+        term = rows.column("term").to_numpy()
+        order = np.argsort(term)
+        self.term, self.removed = term[order], np.asarray(rows.column("removed"), bool)[order]
+
+    def hits(self, b: np.ndarray, o: np.ndarray):
+        """document -> (start, end, kind) of its words in a chunk that are terms."""
+        out: dict[int, list] = {}
+        if not len(self.term):
+            return out
+        w = Words(b, o)
+        h = w.hash.view(np.int64)
+        at = np.searchsorted(self.term, h)
+        at[at == len(self.term)] = 0
+        for j in np.flatnonzero(self.term[at] == h).tolist():
+            out.setdefault(int(np.searchsorted(w.at, j, "right")) - 1, []).append((int(w.start[j]), int(w.end[j]), "removed" if self.removed[at[j]] else "term"))
+        return out
 
 
 def _text_key():
     return F.concat_ws(" ", F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), F.length("text"))
 
 
-def _found_terms(df: DataFrame, blocks: list[np.ndarray]) -> DataFrame:
-    """(key, hits): by _text_key, starts and ends of the terms of all blocks in a text that has some; one pass a block."""
-
-    def within(terms: np.ndarray):
-        def f(batch):
-            keys, out = batch.column("key").to_pylist(), []
-            for a, _, b, o in chunks(*text_buffer(batch.column("text"))):
-                out += [(keys[a + i], start, end) for i, start, end in _hits(b, o, terms)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["key", "start", "end"])
+def _found_terms(df: DataFrame, terms: DataFrame) -> DataFrame:
+    """(key, hits): by _text_key, (start, end, removed) of the terms in a text that has some, by a join on the words in the terms' bitmap."""
+    bitmap = _bitmap(terms)
 
-        return f
+    def f(batch):
+        keys = batch.column("key")
+        for a, _, b, o in chunks(*text_buffer(batch.column("text"))):
+            w = Words(b, o)
+            h = w.hash.view(np.int64)
+            j = np.flatnonzero(_maybe(h, bitmap))
+            doc = np.searchsorted(w.at, j, "right") - 1 + a
+            for i in range(0, len(j), 50_000):
+                k = j[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc[i : i + 50_000])), pa.array(h[k]), pa.array(w.start[k]), pa.array(w.end[k])], ["key", "term", "start", "end"])
 
-    texts = df.select("text", _text_key().alias("key"))
-    parts = [written(map_batches(texts, within(terms), "key string, start long, end long")) for terms in blocks]
-    return reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("h")).select("key", F.flatten(F.transform("h", lambda x: F.array(x["start"], x["end"]))).alias("hits"))
+    words = map_batches(df.select("text", _text_key().alias("key")), f, "key string, term long, start long, end long")
+    return words.join(terms, "term").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end", "removed"))).alias("hits"))
 
 
-def _span_batches(df: DataFrame, blocks: list[np.ndarray], f, schema) -> DataFrame:
-    """f(batch, spans of each row) -> batch, for the spans of all kinds; ``blocks`` are sorted hashes of terms.
+def _span_batches(df: DataFrame, terms: DataFrame, f, schema) -> DataFrame:
+    """f(batch, spans of each row) -> batch, for the spans of all kinds.
 
-    One block is looked up in the same pass.  Of more, what is found comes back to the texts by a join.
+    Up to IN_MEMORY terms are looked up in the same pass.  Of more, what is found comes back to the texts by a join.
     """
-    inside = blocks[0] if len(blocks) == 1 else np.empty(0, np.int64)
     columns = df.columns
-    if len(blocks) > 1:
-        found = written(_found_terms(df, blocks))
+    joined = terms.count() > IN_MEMORY
+    inside = Terms(terms.limit(0).toArrow() if joined else terms.toArrow())
+    if joined:
+        found = written(_found_terms(df, terms))
         rows = df.withColumn("__key", _text_key())
         df = rows.join(small(found, found.count()), rows["__key"] == found["key"], "left").select(*columns, F.col("hits").alias("__hits"))
 
@@ -257,29 +308,19 @@ def _span_batches(df: DataFrame, blocks: list[np.ndarray], f, schema) -> DataFra
         for a, _, b, o in chunks(*text_buffer(batch.column("text"))):
             for i, text in _private_texts(b, o):
                 every[a + i] = known_spans(text)
-            if len(inside):
-                for i, start, end in _hits(b, o, inside):
-                    every[a + i] = _without_overlaps(every[a + i], [(start, end, "term")])
-        if len(blocks) > 1:
+            for i, hits in inside.hits(b, o).items():
+                every[a + i] = _without_overlaps(every[a + i], hits)
+        if joined:
             for i, hits in enumerate(batch.column("__hits").to_pylist()):
                 if hits:
-                    every[i] = _without_overlaps(every[i], [(start, end, "term") for start, end in zip(hits[::2], hits[1::2])])
+                    every[i] = _without_overlaps(every[i], [(x["start"], x["end"], "removed" if x["removed"] else "term") for x in hits])
         yield f(batch.select(columns), [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]))) for x in every])
 
     return map_batches(df, g, schema)
 
 
-def _known_terms(docs: DataFrame, **kw) -> list[np.ndarray]:
-    """Sorted hashes of the disclosing terms, in blocks of about IN_MEMORY; no block without terms."""
-    terms = disclosing_terms(docs, **kw)
-    n = -(-terms.count() // IN_MEMORY)
-    block = F.pmod(F.col("term"), F.lit(n))
-    parts = (terms.where(block == k) if n > 1 else terms for k in range(n))
-    return [np.sort(p.select("term").toArrow().column("term").to_numpy()) for p in parts]
-
-
 def private_spans(docs: DataFrame, **kw) -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone, n_secret, n_term, base (its spans), spans (all spans).
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone, n_secret, n_term, n_removed, base (its spans), spans (all spans).
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start, then kind as in KINDS, joined
     by commas.  Base kinds are leftmost matches that pass their checks; added are codes of high
@@ -288,7 +329,7 @@ def private_spans(docs: DataFrame, **kw) -> DataFrame:
     columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    terms = _known_terms(docs, **kw)
+    terms = disclosing_terms(docs, **kw)
 
     def f(batch, spans):
         counts = [pa.array([sum(s[2] == k for s in x) for x in spans], pa.int64()) for k in KINDS]
@@ -299,25 +340,27 @@ def private_spans(docs: DataFrame, **kw) -> DataFrame:
 
 
 def generalised(text: str, spans: list[tuple[int, int, str]]) -> str:
-    """The text with personal data as its kind in brackets, and revealing terms as the shape of a word, name or number."""
+    """The text with personal data as its kind in brackets, revealing terms as the shape of a word, name or number, or without them."""
     parts, at = [], 0
     for start, end, kind in spans:
         if start < at:
             at = max(at, end)
             continue
         s = text[start:end]
-        shape = kind.upper() if kind != "term" else "NUMBER" if any(c.isdigit() for c in s) else "NAME" if s[:1].isupper() else "WORD"
-        parts += (text[at:start], f"[{shape}]")
+        parts.append(text[at:start])
+        if kind != "removed":
+            shape = kind.upper() if kind != "term" else "NUMBER" if any(c.isdigit() for c in s) else "NAME" if s[:1].isupper() else "WORD"
+            parts.append(f"[{shape}]")
         at = end
     return "".join(parts) + text[at:]
 
 
 def sanitise(docs: DataFrame, **kw) -> DataFrame:
-    """docs with personal data and revealing terms generalised in ``text``; ``n_chars``, if there, is the new length.
+    """docs with personal data and revealing terms generalised or removed in ``text``; ``n_chars``, if there, is the new length.
 
-    All rows and columns come back; a null text stays null.
+    All rows and columns come back; a null text stays null; an empty table gives no rows; repeated rows count as documents.
     """
-    terms = _known_terms(docs, **kw)
+    terms = disclosing_terms(docs, **kw)
 
     def f(batch, spans):
         i = batch.schema.get_field_index("text")
@@ -332,4 +375,4 @@ def sanitise(docs: DataFrame, **kw) -> DataFrame:
 
 def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = private_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_secret", "n_term")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_secret", "n_term", "n_removed", sum((F.col(f"n_{k}") for k in KINDS[1:5]), F.col("n_email")).alias("n_known"))

@@ -12,8 +12,8 @@ from .textkit import chunks, code_point_offsets, map_batches, per_document, shin
 SYMBOLS = "[#*$%&|<>]"
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(b"#*$%&|<>")] = True
-#: Buckets of the sketch grow by this factor: quantiles are right within one percent.
-GAMMA = 1.02
+#: Buckets of the sketch grow by this factor: quantiles are right within half a percent.
+GAMMA = 1.01
 #: Feature -> (part, whole, guard: the limit of a group in which the feature is as good as never above 0).
 FEATURES = {
     "symbol_rate": ("n_symbols", "n_words", 0.01),
@@ -102,18 +102,18 @@ def _quantile_above_zero(q: float):
     return f"cast(get(filter(h, x -> x.bucket > 0 and x.upto - zeros >= {q} * (total - zeros)), 0).bucket as int)"
 
 
-def thresholds(sketch: DataFrame, least: int = 200, fences: float = 3.0) -> DataFrame:
-    """(lang, source, limit of each feature): the upper quartile plus ``fences`` interquartile ranges.
+def thresholds(sketch: DataFrame, prior: float = 200.0, fences: float = 3.0) -> DataFrame:
+    """(lang, source, max and min of each feature): the quartiles plus and minus ``fences`` interquartile ranges.
 
     The range counts as one bucket at least, as the sketch sees no less.  Where the upper quartile is 0, so
-    that most documents have none of the feature, the limit is the lower quartile of those that have
-    some.  Only a limit below the guard is raised to it.
+    that most documents have none of the feature, the maximum is the lower quartile of those that have
+    some.  Only a limit below the guard is raised to it.  The minimum is that of the lower fence, 0 for rates.
 
-    A group of fewer than ``least`` documents takes its language's sketch, and a language of fewer the
-    whole corpus's: the sketches of larger groups are sums of the small ones' buckets.
+    Limits of a group of n documents are shrunk toward its language's with the weight of ``prior`` documents,
+    (n own + prior language) / (n + prior), and a language's in the same way toward the whole corpus's: the
+    sketches of larger groups are sums of the small ones' buckets.
     """
-    per = ["lang", "source", "feature"]
-    rolled = sketch.groupBy(F.col("feature"), F.col("lang"), F.col("source"), F.col("bucket")).agg(F.sum("c").alias("c"))
+    rolled = sketch.groupBy("feature", "lang", "source", "bucket").agg(F.sum("c").alias("c"))
     by_lang = rolled.groupBy("feature", "lang", "bucket").agg(F.sum("c").alias("c"))
     by_all = by_lang.groupBy("feature", "bucket").agg(F.sum("c").alias("c"))
 
@@ -124,22 +124,27 @@ def thresholds(sketch: DataFrame, least: int = 200, fences: float = 3.0) -> Data
         value = lambda bucket: F.when(F.coalesce(F.expr(bucket), F.lit(0)) == 0, F.lit(0.0)).otherwise((1 + 1e-9) * 1e-4 * F.pow(F.lit(GAMMA), F.expr(bucket)))
         guard = F.create_map(*(x for f, (_, _, low) in FEATURES.items() for x in (F.lit(f), F.lit(low))))[F.col("feature")]
         low, high = value(_quantile(0.25)), value(_quantile(0.75))
-        fence = high + fences * F.greatest(high - low, (GAMMA - 1) * high)
-        limit = F.when(high > 0, fence).otherwise(value(_quantile_above_zero(0.25)))
-        return hist.select("feature", *keys, F.col("total").alias(f"n_{name}"), F.greatest(guard, limit).alias(name))
+        fence = fences * F.greatest(high - low, (GAMMA - 1) * high)
+        most = F.greatest(guard, F.when(high > 0, high + fence).otherwise(value(_quantile_above_zero(0.25))))
+        return hist.select("feature", *keys, F.col("total").alias(f"n_{name}"), most.alias(f"max_{name}"), F.greatest(F.lit(0.0), low - fence).alias(f"min_{name}"))
 
-    own, lang, every = limits(rolled, ["lang", "source"], "own"), limits(by_lang, ["lang"], "in_lang"), limits(by_all, [], "in_all")
+    own, lang, every = limits(rolled, ["lang", "source"], "own"), limits(by_lang, ["lang"], "lang"), limits(by_all, [], "all")
     joined = own.alias("o").join(lang.alias("l"), (F.col("o.feature") == F.col("l.feature")) & F.col("o.lang").eqNullSafe(F.col("l.lang"))).join(every.alias("e"), F.col("o.feature") == F.col("e.feature"))
-    limit = F.when(F.col("n_own") >= least, F.col("own")).when(F.col("n_in_lang") >= least, F.col("in_lang")).otherwise(F.col("in_all"))
-    flat = joined.select("o.lang", "o.source", F.col("o.feature").alias("feature"), limit.alias("limit"))
-    return flat.groupBy("lang", "source").agg(*(F.max(F.when(F.col("feature") == f, F.col("limit"))).alias(f"max_{f}") for f in FEATURES))
 
+    def shrunk(end: str):
+        of_lang = (F.col("n_lang") * F.col(f"{end}_lang") + prior * F.col(f"{end}_all")) / (F.col("n_lang") + prior)
+        return (F.col("n_own") * F.col(f"{end}_own") + prior * of_lang) / (F.col("n_own") + prior)
 
-def quality_rules(docs: DataFrame, least: int = 200, fences: float = 3.0) -> DataFrame:
+    flat = joined.select("o.lang", "o.source", F.col("o.feature").alias("feature"), shrunk("max").alias("most"), shrunk("min").alias("least"))
+    return flat.groupBy("lang", "source").agg(*(F.max(F.when(F.col("feature") == f, F.col(c))).alias(f"{end}_{f}") for f in FEATURES for end, c in (("max", "most"), ("min", "least"))))
+
+
+def quality_rules(docs: DataFrame, prior: float = 200.0, fences: float = 3.0) -> DataFrame:
     """Per document: doc_id, COUNTS, base_failed, kept, and failed (the rules that it breaks).
 
     base_failed: fewer than 20 words, or over 30 % of the words in repeated 8-word windows.  kept: not
-    base_failed and no feature above its language's and source's adaptive limit.
+    base_failed and no feature above (``failed`` names it) or below (``low_`` and its name) the adaptive
+    limits of its language and source.
 
     Null and empty texts have 0 everywhere and fail the base; a null language or source is a group of
     its own; repeated rows come back as often; other columns are ignored; an empty table gives no rows.
@@ -147,9 +152,11 @@ def quality_rules(docs: DataFrame, least: int = 200, fences: float = 3.0) -> Dat
     buckets from each task.
     """
     counts = written(measured(docs))
-    limits = thresholds(sketches(counts), least, fences).select(F.col("lang").alias("l"), F.col("source").alias("s"), *(f"max_{f}" for f in FEATURES))
+    ends = [f"{end}_{f}" for f in FEATURES for end in ("max", "min")]
+    limits = thresholds(sketches(counts), prior, fences).select(F.col("lang").alias("l"), F.col("source").alias("s"), *ends)
     joined = counts.join(limits, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
-    failed = F.filter(F.array(*(F.when(_rate(f) > F.col(f"max_{f}"), F.lit(f)) for f in FEATURES)), lambda x: x.isNotNull())
+    rules = [F.when(_rate(f) > F.col(f"max_{f}"), F.lit(f)) for f in FEATURES] + [F.when(_rate(f) < F.col(f"min_{f}"), F.lit(f"low_{f}")) for f in FEATURES]
+    failed = F.filter(F.array(*rules), lambda x: x.isNotNull())
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return joined.select("doc_id", *COUNTS, base.alias("base_failed"), failed.alias("failed")).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
