@@ -351,6 +351,46 @@ def test_mix_overlapping_sources(spark):
     assert abs(out.agg(F.sum("taken")).first()[0] - 3000) <= 20 and out.count() == 301 and out.where("taken > 3 * size").count() == 0
 
 
+def test_texts_in_several_sources_are_taken_where_they_are_first_copies(spark, monkeypatch):
+    rng = random.Random(35)
+    shared, own = [prose(rng, 20) for _ in range(100)], [prose(rng, 20) for _ in range(300)]
+    # weights 5 and 2: a has 200 shared and own texts and needs all its words, b has the shared texts and 200 own ones and needs few
+    rows = [(i, t, "a") for i, t in enumerate(shared + own[:100])] + [(1000 + i, t, "b") for i, t in enumerate(shared + own[100:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r for r in source_mix.mix_by_cycle(docs).collect()}
+    for s in "ab":
+        part = [r for r in out.values() if r["source"] == s]
+        assert abs(sum(r["taken"] for r in part) - part[0]["target"]) <= 20 and all(r["taken"] <= 3 * r["size"] for r in part)
+    twice = sum(out[i]["taken"] > 0 and out[1000 + i]["taken"] > 0 for i in range(100))
+    assert twice == 0 and sum(out[1000 + i]["taken"] > 0 for i in range(100, 300)) > 100
+    monkeypatch.setattr(source_mix, "MOST_PATTERNS", 0)
+    folded = source_mix.mix_by_cycle(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
+    assert all(abs(r["t"] - r["g"]) <= 20 for r in folded)
+
+
+def test_flow_costs_no_more_than_any_other(spark):
+    rng = random.Random(37)
+    for _ in range(40):
+        patterns = [(tuple(rng.sample("abc", rng.randint(1, 3))), rng.randint(1, 3)) for _ in range(3)]
+        targets = {s: rng.randint(0, 4) for s in "abc"}
+        flow = source_mix.route(patterns, targets)
+        sent = lambda i: sum(flow[i].values())
+        cost = lambda words, size: sum(max(0, min(size, words - k * size)) * c for k, c in enumerate((0, 1, 3)))
+        # brute force over the words of each pattern and each source
+        best = {tuple(0 for _ in "abc"): 0}
+        for members, size in patterns:
+            new = {}
+            for got, c in best.items():
+                for split in itertools.product(*(range(targets[s] + 1 if s in members else 1) for s in "abc")):
+                    to = tuple(x + y for x, y in zip(got, split))
+                    if sum(split) <= 3 * size and all(t <= targets[s] for t, s in zip(to, "abc")):
+                        new[to] = min(new.get(to, 10**9), c + cost(sum(split), size))
+            best = new
+        most = max(map(sum, best))
+        assert sum(map(sent, range(3))) == most
+        assert sum(cost(sent(i), patterns[i][1]) for i in range(3)) == min(c for to, c in best.items() if sum(to) == most)
+
+
 # ---- 7
 
 
