@@ -15,7 +15,7 @@ START, END = "<|im_start|>", "<|im_end|>"
 #: Vocabulary of the default token count, and the pattern that cuts texts into pieces for it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters that are tokenised at a time.
+#: Characters at least that are tokenised at a time.
 PIECE = 8192
 WINDOW_SCHEMA = "conv_id long, window int, n_repeated int, n_turns int, n_tokens long, text string, loss array<struct<start:long,end:long>>"
 
@@ -39,14 +39,23 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role), flags=re.S)
 
 
-def token_counter(vocabulary: str):
-    """A function that counts the tokens of a text, in pieces of PIECE characters."""
+def pieces(text: str, size: int):
+    """Parts of a text of about ``size`` characters, cut before a space between two words, where no token goes across."""
+    start = 0
+    for m in re.finditer(r"(?<=\S) (?=\S)", text) if len(text) > size else ():
+        if m.start() - start >= size:
+            yield text[start : m.start()]
+            start = m.start()
+    yield text[start:]
+
+
+def token_counter(vocabulary: bytes, size: int = PIECE):
+    """A function that counts the tokens of a text, from the lines of a vocabulary file."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: sum(len(encoding.encode_ordinary(text[i : i + PIECE])) for i in range(0, len(text), PIECE))
+    return lambda text: sum(len(encoding.encode_ordinary(part)) for part in pieces(text, size))
 
 
 class Windows:
@@ -114,18 +123,20 @@ def format_windows(conversations: DataFrame, budget: int = 1024, history: int =
 
     Turns of equal number go by role and text; repeated rows are turns of their own; null roles and
     texts are empty; rows with a null conv_id are one conversation; an empty table gives no rows; other
-    columns are ignored.  A conversation is streamed in turn order through one task, which holds no more
+    columns are ignored.  The vocabulary file is read on the driver and broadcast (under 1 MB).  A conversation is streamed in turn order through one task, which holds no more
     than a window, however long it is.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    with open(vocabulary, "rb") as file:
+        known = conversations.sparkSession.sparkContext.broadcast(file.read())
     schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int32()), ("n_repeated", pa.int32()), ("n_turns", pa.int32()), ("n_tokens", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def pack(out):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     def run(it):
-        count = token_counter(vocabulary)
+        count = token_counter(known.value)
         now, out, size = None, [], 0
         for batch in it:
             for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):

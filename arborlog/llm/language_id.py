@@ -8,34 +8,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import crc_remainder, small_batches, text_buffer
+from .textkit import crc_remainder, give_back, row_hash, sample_keys, small_batches, text_buffer
 
-#: Bytes in a window.  A text is read whole, window after window; states start anew at each.
-WINDOW = 64
+#: Bytes of a text whose outputs one window gives, and the bytes on either side over which its states are run in.
+WINDOW, EDGE = 192, 32
 #: Windows that run side by side.
-LANES = 2048
+LANES = 1024
+#: Bytes of a training excerpt.
+EXCERPT = 64
 UNKNOWN = "und"
 
 
-def windows(buf: np.ndarray, off: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window x byte) matrix over all texts, each window's document and its bytes; the last of a text is padded with 0."""
+def windows(buf: np.ndarray, off: np.ndarray, size: int = WINDOW, edge: int = EDGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window x byte) matrix over all texts, each window's document and the bytes that it gives outputs for.
+
+    A window is ``edge`` bytes before, ``size`` bytes and ``edge`` bytes after, of the same text; beyond a text's
+    ends all bytes are 0.
+    """
     length = np.diff(off)
     count = -(-length // size)
     doc = np.repeat(np.arange(len(length)), count)
     start = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
     start = off[:-1][doc] + start * size
     used = np.minimum(size, off[1:][doc] - start)
-    padded = np.concatenate((buf, np.zeros(size, np.uint8)))
-    out = padded[start[:, None] + np.arange(size)]
-    short = np.flatnonzero(used < size)
-    out[short] *= np.arange(size) < used[short, None]
+    padded = np.concatenate((np.zeros(edge, np.uint8), buf, np.zeros(size + edge, np.uint8)))
+    out = padded[start[:, None] + np.arange(size + 2 * edge)]
+    if edge:
+        first = np.flatnonzero(start - off[:-1][doc] < edge)
+        out[first, :edge] *= np.arange(edge) >= edge - (start - off[:-1][doc])[first, None]
+    left = off[1:][doc] - start + edge
+    short = np.flatnonzero(left < size + 2 * edge)
+    out[short] *= np.arange(size + 2 * edge) < left[short, None]
     return out, doc, used
 
 
+def squash(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|): smooth, of slope 1 / (1 + |x|)^2, from -1 to 1."""
+    return x / (1 + np.abs(x))
+
+
+def slope(x: np.ndarray) -> np.ndarray:
+    y = 1 + np.abs(x)
+    return 1 / (y * y)
+
+
 class BytesGru:
     """Two gated recurrent layers over bytes, one in each direction, and a softmax over languages at every byte.
 
-    Gates are hard sigmoids and candidates hard tanh, which are a clip each.  ``table`` is the input's
+    Gates are 1/2 + squash/2 and candidates squash, whose slopes are exact.  ``table`` is the input's
     part of the gates for each byte (bias included), ``u`` the state's part; rows are update, reset, candidate.
     """
 
@@ -43,8 +63,8 @@ class BytesGru:
         rng = np.random.default_rng(seed)
         self.languages, self.hidden = languages, hidden
         self.p = {
-            "table": rng.normal(0, 0.3, (2, 3 * hidden, 256)).astype(np.float32),
-            "u": rng.normal(0, 0.6 / np.sqrt(hidden), (2, 3 * hidden, hidden)).astype(np.float32),
+            "table": rng.normal(0, 0.6, (2, 3 * hidden, 256)).astype(np.float32),
+            "u": rng.normal(0, 1.2 / np.sqrt(hidden), (2, 3 * hidden, hidden)).astype(np.float32),
             "out": rng.normal(0, 0.5, (2, len(languages), hidden)).astype(np.float32),
             "bias": np.zeros((len(languages), 1), np.float32),
         }
@@ -64,11 +84,17 @@ class BytesGru:
             np.matmul(p["u"], h, out=a)
             zr = g[:, : 2 * h_size]
             zr += a[:, : 2 * h_size]
-            np.clip(zr, 0, 1, out=zr)
+            w = np.abs(zr, out=a[:, : 2 * h_size])
+            w += 1
+            zr /= w
+            zr += 1
+            zr *= 0.5
             c = a[:, 2 * h_size :]
             c *= zr[:, h_size:]
             c += g[:, 2 * h_size :]
-            np.clip(c, -1, 1, out=c)
+            w = np.abs(c, out=g[:, 2 * h_size :])
+            w += 1
+            c /= w
             c -= h
             c *= zr[:, :h_size]
             h += c
@@ -99,10 +125,10 @@ class BytesGru:
             for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
                 g, a = p["table"][d][:, x[:, t]], p["u"][d] @ h
                 s = g[: 2 * hs] + a[: 2 * hs]
-                zr = np.clip(s, 0, 1)
+                zr = 0.5 + 0.5 * squash(s)
                 z, r = zr[:hs], zr[hs:]
                 q = g[2 * hs :] + r * a[2 * hs :]
-                c = np.clip(q, -1, 1)
+                c = squash(q)
                 hist[d].append((t, h, s, z, r, a[2 * hs :], q, c))
                 h = h + z * (c - h)
                 states[d, t] = h
@@ -122,9 +148,8 @@ class BytesGru:
             by_byte = np.zeros((256, 3 * hs), np.float32)
             for t, h, s, z, r, uh, q, c in reversed(hist[d]):
                 dh += back[t]
-                # a soft slope outside the linear part keeps saturated units learning
-                dq = dh * z * np.where(np.abs(q) < 1, 1, 0.05)
-                ds = np.concatenate((dh * (c - h), dq * uh)) * np.where((s > 0) & (s < 1), 1, 0.05)
+                dq = dh * z * slope(q)
+                ds = np.concatenate((dh * (c - h), dq * uh)) * slope(s) * np.float32(0.5)
                 da = np.concatenate((ds, dq * r))
                 grad["u"][d] += da @ h.T
                 np.add.at(by_byte, x[:, t], np.concatenate((ds, dq)).T)
@@ -152,20 +177,15 @@ class BytesGru:
         lo = 0
         while lo < len(off) - 1:
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + (1 << 20), side="right")) - 1)
-            # a very long text is read in pieces of whole windows
-            for a in range(int(off[lo]), max(int(off[hi]), int(off[lo]) + 1), 1 << 20):
-                b = min(int(off[hi]), a + (1 << 20))
-                cut = np.clip(off[lo : hi + 1], a, b)
-                x, doc, used = windows(buf[a:b], cut - a)
-                for i in range(0, len(x), LANES):
-                    prob = self.softmax(self.logits(x[i : i + LANES]))
-                    u = used[i : i + LANES]
-                    short = np.flatnonzero(u < WINDOW)
-                    total = prob.sum(axis=0)
-                    for j in short.tolist():
-                        total[:, j] = prob[: u[j], :, j].sum(axis=0)
-                    for k in range(len(self.languages)):
-                        out[lo:hi, k] += np.bincount(doc[i : i + LANES], total[k], hi - lo)
+            x, doc, used = windows(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            for i in range(0, len(x), LANES):
+                prob = self.softmax(self.logits(x[i : i + LANES])[EDGE : EDGE + WINDOW])
+                u = used[i : i + LANES]
+                total = prob.sum(axis=0)
+                for j in np.flatnonzero(u < WINDOW).tolist():
+                    total[:, j] = prob[: u[j], :, j].sum(axis=0)
+                for k in range(len(self.languages)):
+                    out[lo:hi, k] += np.bincount(doc[i : i + LANES], total[k], hi - lo)
             lo = hi
         return out / np.maximum(1, np.diff(off))[:, None]
 
@@ -173,23 +193,20 @@ class BytesGru:
 def fit_language_model(labelled: DataFrame, per_language: int = 1500, excerpts: int = 3, **fit) -> BytesGru | None:
     """A model from (doc_id, text, lang) rows, or None where no row has a language and text.
 
-    The sample is bounded: of each language about ``per_language`` documents by a hash of the id, and
-    ``excerpts`` excerpts of a window's length from hashed places of each.
+    The sample is bounded: of each language ``per_language`` documents at most, those of the least hash of
+    id and text (repeated rows count once), and ``excerpts`` excerpts of EXCERPT characters from hashed places of each.
     """
-    rows = labelled.where("lang is not null")
-    count = {r["lang"]: r["c"] for r in rows.groupBy("lang").agg(F.count("*").alias("c")).collect()}
-    if not count:
-        return None
-    share = F.create_map(*(x for lang, c in count.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / c)))))[F.col("lang")]
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    place = [F.expr(f"substring(text, 1 + cast(pmod(xxhash64(doc_id, {i}), greatest(1, length(text) - {WINDOW})) as int), {WINDOW})") for i in range(excerpts)]
-    sample = chosen.where("length(text) > 0").select("doc_id", "lang", F.posexplode(F.array(*place)).alias("i", "part")).collect()
-    sample = sorted((str(r["doc_id"]), r["i"], r["lang"], r["part"]) for r in sample)
+    rows = labelled.where("lang is not null and length(text) > 0").select("doc_id", "text", "lang")
+    chosen = sample_keys(rows, per_language, "lang")
+    rows = rows.withColumn("__h", row_hash()).join(F.broadcast(chosen), ["__h", "lang"])
+    place = [F.expr(f"substring(text, 1 + cast(pmod(xxhash64(__h, {i}), greatest(1, length(text) - {EXCERPT})) as int), {EXCERPT})") for i in range(excerpts)]
+    sample = rows.select("__h", "lang", F.posexplode(F.array(*place)).alias("i", "part")).distinct().collect()
+    sample = sorted((r["__h"], r["i"], r["lang"], r["part"]) for r in sample)
     if not sample:
         return None
     languages = sorted({s[2] for s in sample})
-    buf, off = text_buffer(pa.array([s[3].encode()[:WINDOW].decode(errors="ignore") for s in sample]))
-    x, doc, used = windows(buf, off)
+    buf, off = text_buffer(pa.array([s[3].encode()[:EXCERPT].decode(errors="ignore") for s in sample]))
+    x, doc, used = windows(buf, off, EXCERPT, 0)
     y = np.array([languages.index(s[2]) for s in sample])[doc]
     model = BytesGru(languages)
     weight = np.array([1 / (y == k).sum() if (y == k).any() else 0 for k in range(len(languages))])[y]
@@ -201,26 +218,30 @@ def fit_language_model(labelled: DataFrame, per_language: int = 1500, excerpts:
 def predict_language(docs: DataFrame, model: BytesGru | None, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """docs with the predicted language and its pooled probability; ``und`` and 0 for a text that is null or has no letter.
 
-    All rows and columns come back; without a model every document is ``und``.
+    All rows and columns come back, but for columns of the two new names, which are replaced; without a
+    model every document is ``und``; an empty table gives no rows.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
-    docs = docs.withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    docs = docs.drop(lang_col, score_col)
+    fields = docs.schema.fields
+    schema = T.StructType([*fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
+    at = docs.columns.index("text")
+    # the last column says whether the text has a letter, whatever the others are called
+    docs = docs.select("*", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def run(it):
         for batch in it:
             if not batch.num_rows:
                 continue
-            letters = batch.column("__letters").to_numpy(zero_copy_only=False)
+            letters = batch.column(len(fields)).to_numpy(zero_copy_only=False)
             if model is None:
                 lang, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
             else:
-                prob = model.pooled(*text_buffer(batch.column("text")))
+                prob = model.pooled(*text_buffer(batch.column(at)))
                 best = prob.argmax(axis=1)
                 lang = np.where(letters, np.array(model.languages, object)[best], UNKNOWN)
                 score = np.where(letters, np.clip(prob[np.arange(len(best)), best], 0, 1), 0.0)
-            kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__letters"]
-            names = [n for n in batch.schema.names if n != "__letters"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score)], [*names, lang_col, score_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(fields))), pa.array(lang, pa.string()), pa.array(score)], schema.names)
+        give_back()
 
     return small_batches(docs).mapInArrow(run, schema)
 
@@ -229,7 +250,9 @@ def language_id(docs: DataFrame, held_out: int = 2, folds: int = 4) -> DataFrame
     """Per document: doc_id, held_out, lang_pred, score.
 
     The model learns from rows with a language whose crc32(doc_id) modulo ``folds`` is not ``held_out``,
-    and is applied to whole texts.  Repeated rows come back as often; other columns are ignored.
+    and is applied to whole texts.  Null and empty texts and those without a letter are ``und`` with score 0;
+    repeated rows and null ids come back as often; other columns, whatever their names, are ignored; an empty
+    table gives no rows, and without any language every document is ``und``.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), (crc_remainder("doc_id", folds) == held_out).alias("held_out"))
     model = fit_language_model(rows.where("not held_out"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections import Counter
 
 import numpy as np
@@ -26,6 +27,9 @@ TEMPLATES = (
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -63,7 +67,7 @@ class Templates:
         A notice of m bigrams is compared with the windows of m bigrams (the whole text, where that is
         shorter) that hold enough of its own; a text too short for its size bound is not compared.
         """
-        found: dict[str, tuple[float, int, int]] = {}
+        found: list[tuple[float, int, int, str]] = []
         for name, mine, counts, member in zip(self.names, self.bigrams, self.counts, self.member):
             m = min(len(mine), len(pairs))
             if m * (2 - self.at_least) < len(mine) * self.at_least:
@@ -72,13 +76,18 @@ class Templates:
             n = c[m:] - c[:-m]
             for s in np.flatnonzero(2 * n >= self.at_least * (m + len(mine))).tolist():
                 value = dice(counts, Counter(pairs[s : s + m].tolist()))
-                if value >= self.at_least and value > found.get(name, (0.0,))[0]:
-                    found[name] = (value, s, s + m + 1)
-        # of notices that overlap, the one that fits best stands
+                if value >= self.at_least:
+                    found.append((value, s, s + m + 1, name))
+        # of spans that overlap, the one that fits best stands, then the longer one, then the first
+        starts: list[int] = []
+        ends: list[int] = []
         kept: dict[str, tuple[float, int, int]] = {}
-        for name, (value, x, y) in sorted(found.items(), key=lambda i: (-i[1][0], i[1][1] - i[1][2], i[0])):
-            if not any(x < v and u < y for _, u, v in kept.values()):
-                kept[name] = (value, x, y)
+        for value, x, y, name in sorted(found, key=lambda i: (-i[0], i[1] - i[2], i[1], i[3])):
+            k = bisect.bisect_right(ends, x)
+            if k == len(starts) or starts[k] >= y:
+                starts.insert(k, x)
+                ends.insert(k, y)
+                kept.setdefault(name, (value, x, y))
         return kept
 
 

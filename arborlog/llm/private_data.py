@@ -213,7 +213,7 @@ def _chance(n_et, n_e, n, total: float):
     return -n_e * (a * F.ln(a / p) + F.when((a < 1) & (p < 1), (1 - a) * F.ln((1 - a) / (1 - p))).otherwise(0.0))
 
 
-def disclosing_terms(docs: DataFrame, alpha: float = 0.05, bits: float = 1.0, removed_bits: float = 0.5) -> DataFrame:
+def disclosing_terms(docs: DataFrame, alpha: float = 0.05, bits: float = 1.0, removed_bits: float = 0.6) -> DataFrame:
     """(term, removed): terms that reveal an entity, by co-occurrence over the whole corpus.
 
     In documents, PMI(entity; term) = log2(N n(e,t) / (n(e) n(t))), and log2(N / n(e)) is the entity's own

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality_rules import text_counts
-from .textkit import LOWER, chunks, crc_remainder, map_batches, per_document, text_buffer, word_hashes, word_spans
+from .textkit import LOWER, chunks, crc_remainder, map_batches, per_document, row_hash, sample_keys, text_buffer, word_hashes, word_spans
 
 #: log2 of the number of word features, and the bins of each structure statistic.
 WORD_BITS, BINS = 14, 12
@@ -120,20 +120,21 @@ class FactorisationMachine:
 def fit_quality_model(docs: DataFrame, labels: DataFrame, sample: int = 8000, **fit) -> FactorisationMachine:
     """A model from documents (doc_id, text) and labels (doc_id, quality); without labels it scores by its prior.
 
-    It learns from about ``sample`` labelled documents, taken by a hash of the id: of those alone the
-    features come to the driver.  A document with several labels counts by their mean.
+    It learns from ``sample`` labelled documents at most, those of the least hash of id and text; of those
+    alone the features come to the driver.  A document with several labels counts by their mean; repeated
+    rows count once; rows without an id have no label.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    share = min(1.0, sample / max(1, labels.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(share * 1_000_000))
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    rows = docs.select("doc_id", "text").join(known, "doc_id")
+    chosen = sample_keys(rows, sample)
+    rows = rows.withColumn("__h", row_hash()).join(F.broadcast(chosen), "__h").select("doc_id", "text", "y", "__h")
 
     def f(batch):
         feature, value, off = features(batch.column("text"))
         lists = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(x)) for x in (feature.astype(np.int32), value.astype(np.float32))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *lists], ["doc_id", "y", "f", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("__h"), batch.column("y"), *lists], ["h", "y", "f", "x"])
 
-    got = map_batches(rows, f, "doc_id long, y int, f array<int>, x array<float>").toArrow().sort_by("doc_id")
+    got = map_batches(rows, f, "h long, y int, f array<int>, x array<float>").dropDuplicates(["h"]).toArrow().sort_by("h")
     model = FactorisationMachine()
     if got.num_rows:
         off = np.concatenate(([0], np.cumsum([len(x) for x in got.column("f")])))
@@ -147,7 +148,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, held_out: int = 0, fo
 
     Labels are learnt from rows whose crc32(doc_id) modulo ``folds`` is not ``held_out``.  Inputs of a
     score are the whole text's words, its structure and its length alone.  Null and empty texts are scored
-    by their (empty) statistics; repeated rows come back as often; other columns are ignored.
+    by their (empty) statistics; repeated rows and null ids come back as often; without labels every score is
+    the prior's; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("held_out", crc_remainder("doc_id", folds) == held_out)

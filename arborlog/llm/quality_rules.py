@@ -106,8 +106,7 @@ def thresholds(sketch: DataFrame, prior: float = 200.0, fences: float = 3.0) ->
     """(lang, source, max and min of each feature): the quartiles plus and minus ``fences`` interquartile ranges.
 
     The range counts as one bucket at least, as the sketch sees no less.  Where the upper quartile is 0, so
-    that most documents have none of the feature, the maximum is the lower quartile of those that have
-    some.  Only a limit below the guard is raised to it.  The minimum is that of the lower fence, 0 for rates.
+    that most documents have none of the feature, the maximum is the median of those that have some.  Only a limit below the guard is raised to it.  The minimum is that of the lower fence, 0 for rates.
 
     Limits of a group of n documents are shrunk toward its language's with the weight of ``prior`` documents,
     (n own + prior language) / (n + prior), and a language's in the same way toward the whole corpus's: the
@@ -125,7 +124,7 @@ def thresholds(sketch: DataFrame, prior: float = 200.0, fences: float = 3.0) ->
         guard = F.create_map(*(x for f, (_, _, low) in FEATURES.items() for x in (F.lit(f), F.lit(low))))[F.col("feature")]
         low, high = value(_quantile(0.25)), value(_quantile(0.75))
         fence = fences * F.greatest(high - low, (GAMMA - 1) * high)
-        most = F.greatest(guard, F.when(high > 0, high + fence).otherwise(value(_quantile_above_zero(0.25))))
+        most = F.greatest(guard, F.when(high > 0, high + fence).otherwise(value(_quantile_above_zero(0.5))))
         return hist.select("feature", *keys, F.col("total").alias(f"n_{name}"), most.alias(f"max_{name}"), F.greatest(F.lit(0.0), low - fence).alias(f"min_{name}"))
 
     own, lang, every = limits(rolled, ["lang", "source"], "own"), limits(by_lang, ["lang"], "lang"), limits(by_all, [], "all")

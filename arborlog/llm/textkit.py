@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
@@ -241,6 +241,27 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def sample_keys(rows: DataFrame, n: int, by: str | None = None) -> DataFrame:
+    """(by, __h): the n smallest distinct hashes of (doc_id, text), of each value of ``by`` if given; never more.
+
+    Repeated rows have one hash, and a null id counts by its text, so neither adds to the sample.  Only
+    hashes below a bound that leaves about twice n are put in order, so no group is one task's.
+    """
+    rows = rows.select(*([by] if by else []), row_hash().alias("__h"))
+    keys = [by] if by else []
+    count = {r[by] if by else None: r["c"] for r in rows.groupBy(*keys).agg(F.count("*").alias("c")).collect()}
+    below = lambda c: min((1 << 63) - 1, int(-(1 << 63) + (1 << 64) * min(1.0, (2 * n + 100) / max(1, c))))
+    if by is None:
+        return rows.where(F.col("__h") <= below(count.get(None, 0))).distinct().orderBy("__h").limit(n)
+    bound = F.create_map(*(x for k, c in count.items() if k is not None for x in (F.lit(k), F.lit(below(c))))) if count else None
+    some = rows.where(F.col("__h") <= bound[F.col(by)]).distinct() if count else rows.distinct()
+    return some.withColumn("__i", F.row_number().over(Window.partitionBy(by).orderBy("__h"))).where(F.col("__i") <= n).drop("__i")
+
+
+def row_hash() -> Column:
+    return F.xxhash64(F.lit(29), "doc_id", "text")
+
+
 def word_count_column(text: str = "text") -> Column:
     """Number of words of a text as a Column; null: 0."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -38,13 +38,21 @@ def _name(host: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
 
 
-def registered_domain(host: Column) -> Column:
-    """The last two labels of a host; a host of fewer labels as it is."""
-    return F.substring_index(_name(host), ".", -2)
+#: Second labels under which registries of two-letter suffixes register names.
+SECOND_LEVEL = "ac|co|com|edu|gov|net|org"
+_ADDRESS, _COMPOUND = r"^[0-9.]+$", rf"(^|\.)({SECOND_LEVEL})\.[a-z][a-z]$"
 
 
 def suffix(host: Column) -> Column:
-    return F.substring_index(_name(host), ".", -1)
+    """The last label of a host, or the last two (``co.uk``); an address is one name."""
+    name = _name(host)
+    return F.when(name.rlike(_ADDRESS), name).when(name.rlike(_COMPOUND), F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+
+
+def registered_domain(host: Column) -> Column:
+    """A host's suffix and the label before it, if there is one; an address as it is."""
+    name = _name(host)
+    return F.when(name.rlike(_ADDRESS), name).when(name.rlike(_COMPOUND), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def _strength(groups: DataFrame, parent: str) -> Column:
@@ -65,7 +73,7 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
 
     Counts are summed up from host to registered domain to suffix; each level's rate is shrunk to the
     posterior mean of the level above by a beta prior whose strength is estimated by moments.  lower
-    is mean - z standard deviations of the beta posterior, at least 0.  Null hosts and null outcomes
+    is mean - z standard deviations of the beta posterior, at least 0: the normal stand-in for its quantile.  Null hosts and null outcomes
     are ignored; a table without outcomes gives no rows.
     """
     host = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("bad").cast("double")).alias("x"))
@@ -136,8 +144,10 @@ WITH parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'A
 known AS (SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad
   FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1),
 seen AS (SELECT host, bad FROM (SELECT host, try_cast(nullif(regexp_extract(path, '^/[^/]*/([0-9]+)', 1), '') AS BIGINT) AS doc_id FROM parts) JOIN known USING (doc_id)),
-hosts AS (SELECT *, CASE WHEN len(l) > 1 THEN l[-2] || '.' || l[-1] ELSE l[-1] END AS domain, l[-1] AS suffix FROM
-  (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS x, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS l FROM seen GROUP BY host)),
+hosts AS (SELECT host, n, x, CASE WHEN address THEN name ELSE array_to_string(l[greatest(1, len(l) - k):], '.') END AS domain,
+  CASE WHEN address THEN name ELSE array_to_string(l[greatest(1, len(l) - k + 1):], '.') END AS suffix FROM
+  (SELECT *, string_split(name, '.') AS l, regexp_matches(name, '{_ADDRESS}') AS address, CASE WHEN regexp_matches(name, '{_COMPOUND}') THEN 2 ELSE 1 END AS k FROM
+  (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS x, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM seen GROUP BY host))),
 s0 AS (SELECT suffix, sum(n) AS n, sum(x) AS x, (SELECT sum(x) / sum(n) FROM hosts) AS m FROM hosts GROUP BY 1),
 {_strength_sql("k0", "s0", "m")},
 s1 AS (SELECT suffix, (x + k * m) / (n + k) AS m FROM s0, k0),

@@ -222,6 +222,8 @@ def test_url_parts_rules_and_reputation(spark):
     assert got[5] == ("notexample.org", "/en/1", "org/", "allow")
     assert got[6] == ("b.com", "", None, "allow") and got[7][2:] == ("com/fr/", "allow") and got[8] == ("x.y.com:80", "/de/2", None, "allow")
     assert got[9][:2] == ("b:", "//c/d") and got[10][3] == "block" and got[11][3] == "allow"
+    names = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("u@x.y.com:80",), ("10.0.3.4",), ("one",)], "host string").select("host", url_reputation.registered_domain(F.col("host")), url_reputation.suffix(F.col("host"))).collect()
+    assert [tuple(r)[1:] for r in names] == [("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("y.com", "com"), ("10.0.3.4", "10.0.3.4"), ("one", "one")]
     none = spark.createDataFrame([], "host string, bad int")
     assert url_reputation.url_filter(pages, none).where("verdict = 'block'").count() == 2
 
@@ -235,6 +237,9 @@ def test_license_scan(spark):
     docs.append(prose(rng, 30_000) + " Licensed under the Apache License, Version 2.0.")
     got = {(r["doc_id"], r["license"]): r for r in license_scan.license_scan(table(spark, docs)).collect()}
     assert set(got) == {(13, "MIT"), (14, "GPL-3.0"), (15, "CC-BY-NC-4.0"), (16, "Apache-2.0")}
+    both = "This work is licensed under the GNU General Public License, version 3. x y z Any work is licensed under the GNU General Public License, version 2."
+    pair = {r["license"]: r for r in license_scan.license_scan(table(spark, [both, both + " " + both])).collect() if r["doc_id"] == 0}
+    assert set(pair) == {"GPL-2.0", "GPL-3.0"} and pair["GPL-2.0"]["start"] > pair["GPL-3.0"]["end"]
     r = got[14, "GPL-3.0"]
     assert docs[14][r["start"] : r["end"]].startswith("This work") and r["dice"] == 1.0
     assert license_scan.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -291,7 +296,7 @@ def test_limits_come_from_the_sketch_of_the_group(spark):
     counts = quality_rules.measured(docs)
     limits = {r["source"]: r for r in quality_rules.thresholds(quality_rules.sketches(counts), prior=0.0).collect()}
     for source, part in (("a", few), ("b", many)):
-        exact = np.quantile([t.count("#") / 100 for t in part], 0.25, method="inverted_cdf")
+        exact = np.quantile([t.count("#") / 100 for t in part], 0.5, method="inverted_cdf")
         assert limits[source]["max_symbol_rate"] == pytest.approx(exact, rel=0.03)
     failed = {r["doc_id"]: r["failed"] for r in quality_rules.quality_rules(docs, prior=20.0).collect()}
     assert failed[2000] == [] and "symbol_rate" in failed[1019] and "symbol_rate" in failed[2039]
@@ -432,8 +437,8 @@ def test_terms_of_rare_entities_over_the_whole_text(spark):
     plain = [prose(rng, 60) for _ in range(1500)]
     docs = plain + ["quixnard " + prose(rng, 20) + " ann@corp.example", *("vlimpet " + prose(rng, 15) + " joe@corp.example " + prose(rng, 15) for _ in range(2))]
     out = {r["doc_id"]: r for r in private_data.private_spans(table(spark, docs)).collect()}
-    assert [out[1500 + k]["spans"].split(",")[0] for k in range(3)] == ["term:0:8", "term:0:7", "term:0:7"]
-    assert [out[1500 + k]["n_term"] for k in range(3)] == [1, 1, 1] and all(out[i]["n_term"] == 0 for i in range(1500))
+    assert [out[1500 + k]["spans"].split(",")[0] for k in range(3)] == ["term:0:8", "removed:0:7", "removed:0:7"]
+    assert [out[1500 + k]["n_term"] for k in range(3)] == [1, 0, 0] and [out[1500 + k]["n_removed"] for k in range(3)] == [0, 1, 1] and all(out[i]["n_term"] == 0 for i in range(1500))
 
 
 def test_disclosing_terms_equal_brute_force_and_spare_clean_documents(spark):
@@ -457,7 +462,7 @@ def test_disclosing_terms_equal_brute_force_and_spare_clean_documents(spark):
         kl = a * math.log(a / p) + ((1 - a) * math.log((1 - a) / (1 - p)) if a < 1 and p < 1 else 0)
         lacking = -math.log2(n_et / (count[t] + 1))
         if lacking <= 1 and math.log(n_terms) - whose[e] * kl <= math.log(0.05):
-            want[t] = want.get(t, False) or lacking <= 0.5
+            want[t] = want.get(t, False) or lacking <= 0.6
     assert want and True in want.values() and False in want.values()
     got = {r["term"]: r["removed"] for r in private_data.disclosing_terms(table(spark, docs)).collect()}
     key = {int(h): t for t in want for h in private_data.Words(*private_data.text_buffer(__import__("pyarrow").array([t]))).hash.view(np.int64)}
@@ -520,6 +525,16 @@ def test_escapes_are_reversible():
         assert "\n" not in chat_format.escape_role(t) and chat_format.unescape_role(chat_format.escape_role(t)) == t
 
 
+def test_token_counts_do_not_depend_on_pieces():
+    rng = random.Random(39)
+    with open(chat_format.VOCABULARY, "rb") as f:
+        data = f.read()
+    whole, parts = chat_format.token_counter(data, 1 << 30), chat_format.token_counter(data, 7)
+    for _ in range(60):
+        t = "".join(rng.choice(["word", " ", "  ", "\n", "é", "12", ".", " a", "'s"]) for _ in range(rng.randint(0, 60)))
+        assert whole(t) == parts(t) and "".join(chat_format.pieces(t, 7)) == t
+
+
 def test_chat_windows(spark):
     rng = random.Random(13)
     rows = [(1, 0, "system", "be kind")] + [(1, t, "user" if t % 2 else "assistant", prose(rng, 120)) for t in range(1, 30)]
@@ -558,18 +573,45 @@ def test_language_id(spark):
 
 def test_gradients_by_difference():
     model = language_id.BytesGru(["a", "b"], hidden=3)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
     rng = np.random.default_rng(3)
     x, used, y = rng.integers(97, 101, (5, 7)).astype(np.uint8), np.array([7, 7, 4, 7, 1]), np.array([0, 1, 0, 1, 1])
-    for name in ("out", "bias"):
-        _, grad = model.gradients(x, used, y)
-        at = tuple(0 for _ in model.p[name].shape)
-        save = model.p[name][at]
-        loss = []
-        for e in (1e-2, -1e-2):
-            model.p[name][at] = save + e
-            loss.append(model.gradients(x, used, y)[0])
-        model.p[name][at] = save
-        assert grad[name][at] == pytest.approx((loss[0] - loss[1]) / 2e-2, rel=0.05, abs=1e-4)
+    _, grad = model.gradients(x, used, y)
+    for name in ("out", "bias", "u", "table"):
+        for at in np.ndindex(*model.p[name].shape):
+            if name == "table" and not 97 <= at[-1] <= 100:
+                assert grad[name][at] == 0
+                continue
+            save, loss = model.p[name][at], []
+            for e in (1e-3, -1e-3):
+                model.p[name][at] = save + e
+                loss.append(model.gradients(x, used, y)[0])
+            model.p[name][at] = save
+            assert grad[name][at] == pytest.approx((loss[0] - loss[1]) / 2e-3, rel=0.02, abs=2e-5), (name, at)
+
+
+def test_windows_give_what_a_run_over_the_whole_text_gives():
+    rng = random.Random(38)
+    model = language_id.BytesGru(["a", "b", "c"])
+    texts = ["", "x", prose(rng, 31), prose(rng, 700), "é" * 300]
+    data = [t.encode() for t in texts]
+    buf, off = np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(d) for d in data])))
+    got = model.pooled(buf, off)
+    for d, mean in zip(data, got):
+        if d:
+            edge = language_id.EDGE
+            x = np.concatenate((np.zeros(edge, np.uint8), np.frombuffer(d, np.uint8), np.zeros(edge, np.uint8)))[None, :]
+            prob = model.softmax(model.logits(x)[edge:-edge])[:, :, 0]
+            assert mean == pytest.approx(prob.mean(axis=0), abs=0.01)
+
+
+def test_samples_are_bounded_with_null_and_repeated_ids(spark):
+    from arborlog.llm.textkit import sample_keys
+
+    rows = [(None, f"text {i}", "aa") for i in range(500)] + [(1, "same", "aa")] * 300 + [(i, "t", "bb") for i in range(50)] + [(9, "z", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    count = {r["lang"]: r["count"] for r in sample_keys(df.where("lang is not null"), 100, "lang").groupBy("lang").count().collect()}
+    assert count == {"aa": 100, "bb": 50} and sample_keys(df, 100).count() == 100 and sample_keys(df.limit(0), 5).count() == 0
 
 
 # ---- pipeline
@@ -594,3 +636,21 @@ def test_pipeline_keeps_columns_and_clean_documents(spark, tmp_path):
     assert left[0] == clean | {63, 64, 65, 66} and left[1] == clean | {65, 66} and left[2] == clean | {66} == left[3]
     assert "bob@" not in stage.where("doc_id = 66").first()["text"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 61
+
+
+def test_pipeline_with_null_ids_repeats_clashing_columns_and_an_empty_table(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(40)
+    item, same = prose(rng, 30), prose(rng, 70)
+    rows = [(i, prose(rng, 60), "en", "s", 1, "x", 0.5) for i in range(40)]
+    rows += [(None, same, "en", "s", 1, "x", 0.5)] * 2 + [(50, same, None, None, 1, "x", 0.5)] * 2 + [(None, item, "en", "s", 1, "x", 0.5), (60, None, "en", "s", 1, "x", 0.5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __lang string, __score double"
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for part, want in ((rows, [*range(40), 50]), ([], [])):
+        stage = spark.createDataFrame(part, schema)
+        stage.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        for _, f in corpus_pipeline.STAGES[:-1]:
+            stage = corpus_pipeline.written(f(spark, stage, str(tmp_path)))
+            assert stage.columns == [c.split()[0] for c in schema.split(", ")]
+        assert sorted(r["doc_id"] for r in stage.collect()) == want
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(want)
