@@ -13,33 +13,60 @@ from arborlog.llm.language_id import UNKNOWN, fit_language_model, predict_langua
 from arborlog.llm.ngram_join import ngram_jaccard_join
 from arborlog.llm.private_data import sanitise
 from arborlog.llm.source_mix import mix_by_cycle
-from arborlog.llm.textkit import crc_remainder, small, written
+from arborlog.llm.textkit import crc_remainder, release, small, written
 
 #: A document whose best language has a lower pooled probability is rejected: near the chance of a guess.
 LEAST_SCORE = 0.3
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """The name, or a longer one that docs has no column of."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: not ``und`` and not near a guess.  The model learns from the documents' own lang."""
+    """Documents with a language: not ``und`` and not near a guess.  The model learns from the documents' own lang.
+
+    Null and empty texts and those without a letter go; where no document names a language, there is no
+    model and all stay; an empty table gives no rows.
+    """
     model = fit_language_model(docs.where(crc_remainder("doc_id", 4) != 2))
-    found = predict_language(docs, model, "__lang", "__score")
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(docs.columns)
+    if model is None:
+        return docs
+    lang, score = _free("__lang", docs), _free("__score", docs)
+    found = predict_language(docs, model, lang, score)
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the smallest doc_id.  A document with a null id stays."""
-    groups = ngram_jaccard_join(docs)
-    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near duplicates: the smallest doc_id.
+
+    A row without an id goes by a number made of its text, above ordinary ids, so it stays only where no
+    row with an id is like it.  Of rows that repeat an id and a text one stays; rows of one id with
+    different texts stay together or go together.  An empty table gives no rows.
+    """
+    key = _free("__key", docs)
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)))
+    groups = written(ngram_jaccard_join(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id"))
+    gone = written(groups.where(F.col(key) != F.col("component_id")).select(key).distinct())
+    twice = written(groups.groupBy(key).count().where("count > 1").select(key))
+    release(groups)
+    kept = keyed.join(small(gone, gone.count()), key, "left_anti")
+    if n := twice.count():
+        once = kept.join(small(twice, n), key, "left_semi").dropDuplicates([key, "text"])
+        kept = kept.join(small(twice, n), key, "left_anti").unionByName(once)
+    return kept.select(docs.columns)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
+    """Documents in which no benchmark item stands, each judged by its own text."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents, with personal data and terms that reveal it generalised."""
+    """The same documents, with personal data and terms that reveal it generalised or removed."""
     return sanitise(docs)
 
 
@@ -62,5 +89,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
