@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components, merged_components
-from .textkit import LOWER, chunks, fold, give_back, map_batches, mix, release, shingle_hashes, small, small_batches, text_buffer, word_hashes, word_spans, written
+from .textkit import LOWER, chunks, fold, give_back, lighten, map_batches, mix, release, shingle_hashes, small, small_batches, text_buffer, word_hashes, word_spans, written
 
 #: Seeds of the token orders.  The first deals out candidates, the others must confirm them.  The second is by hash
 #: alone, the others have rare tokens first.
@@ -16,7 +16,7 @@ ORDER_SEEDS = (0x51ED270B0A1F39C1, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
 #: Seeds of the hash orders whose first tokens alone make the first round of candidates.
 FIRST_SEEDS = (ORDER_SEEDS[1], 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)
 #: Shingles among which a task looks for frequent ones at a time.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Tokens at most in the list of frequent ones, which come last in every order.
 FREQUENT = 1 << 18
 
@@ -354,6 +354,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, frequent:
     both = left.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "tokens_a", "tokens_b")
     links = written(map_batches(both, f, "a long, b long, shared long"))
     release(ids, sets, left)
+    lighten(docs.sparkSession)
     return links
 
 
@@ -376,6 +377,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     columns are ignored.  Sets are of 64-bit hashes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spark = docs.sparkSession
+    lighten(spark)
     known = written(describe(docs, k))
     per_doc = known.where("n >= 0").select("doc_id", "n", "s1", "s2")
     total = per_doc.count()
@@ -392,6 +395,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     rows = prefix_rows(texts, k, percent, frequent, rank)
     rows = written(shared_tokens(rows.repartition("token").sortWithinPartitions("token")))
+    lighten(spark)
     alone = known.where("n > 0 and doc_id is not null").select("doc_id", "n", "firsts")
     first = written(first_round(alone.join(small(copies, copies.count()), "doc_id", "left_anti"), percent))
     links = verified(texts, first, k, percent, frequent, rank)

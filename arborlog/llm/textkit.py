@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -151,7 +152,7 @@ BATCH_ROWS = 2000
 
 
 #: Bytes of an Arrow batch: a batch of very long texts is closed before its rows are full.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -236,6 +237,18 @@ def release(*tables: DataFrame) -> None:
             fs.delete(jvm_path, True)
 
 
+def lighten(spark: SparkSession) -> None:
+    """Lets the JVMs collect what finished steps left, so that heaps shrink again before the next step.
+
+    The driver's collection lets go of broadcast tables that no plan uses any more; then about two tasks an
+    executor collect theirs.  Nothing depends on it but memory.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    n = 2 * max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for a broadcast if its counted rows are within the bound."""
     return F.broadcast(df) if rows <= bound else df
