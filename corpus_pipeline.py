@@ -13,7 +13,7 @@ from arborlog.llm.language_id import UNKNOWN, fit_language_model, predict_langua
 from arborlog.llm.ngram_join import ngram_jaccard_join
 from arborlog.llm.private_data import sanitise
 from arborlog.llm.source_mix import mix_by_cycle
-from arborlog.llm.textkit import crc_remainder, release, small, written
+from arborlog.llm.textkit import crc_remainder, lighten, release, small, written
 
 #: A document whose best language has a lower pooled probability is rejected: near the chance of a guess.
 LEAST_SCORE = 0.3
@@ -32,6 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts and those without a letter go; where no document names a language, there is no
     model and all stay; an empty table gives no rows.
     """
+    lighten(spark)
     model = fit_language_model(docs.where(crc_remainder("doc_id", 4) != 2))
     if model is None:
         return docs
@@ -62,16 +63,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item stands, each judged by its own text."""
+    lighten(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents, with personal data and terms that reveal it generalised or removed."""
+    lighten(spark)
     return sanitise(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its size, its source's size and target, and the words that the mix takes of it."""
+    lighten(spark)
     return mix_by_cycle(docs)
 
 
