@@ -46,6 +46,16 @@ def show_pid(pid: int) -> str:
     return f"{check_pid(pid):x}"
 
 
+def show_pid_col(pid: Column) -> Column:
+    return F.lower(F.hex(pid.cast("long")))
+
+
+def read_pid_col(text: Column) -> Column:
+    """The peer id of its hex text; null if it is none."""
+    pid = F.conv(F.when(text.rlike("^[0-9A-Fa-f]{1,8}$"), text), 16, 10).cast("long")
+    return F.when(pid > 0, pid)
+
+
 def hlc_of(ts: Column) -> Column:
     """Milliseconds of a timestamp, truncated, with the low bits cleared."""
     return F.unix_millis(ts.cast("timestamp")).bitwiseAND(F.lit(~LOW).cast("long"))
@@ -56,5 +66,5 @@ def time_of(hlc: Column) -> Column:
 
 
 def show_hlc(hlc: Column) -> Column:
-    """ISO-8601 in UTC (with the session's time zone set to UTC)."""
-    return F.date_format(F.timestamp_millis(hlc), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """ISO-8601 in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(F.timestamp_millis(hlc), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

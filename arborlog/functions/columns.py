@@ -36,13 +36,29 @@ def valid_field(name: Column) -> Column:
     return ~name.rlike(r"[\x00-\x1f]")
 
 
-def field(name: Column) -> Column:
+def raw_field(name: Column) -> Column:
+    """A path segment of a name that is known to be valid."""
     return F.concat(_bytes("00"), name.cast("binary"))
 
 
+def field(name: Column) -> Column:
+    """A path segment of a name; a control byte is an error, as it would read as the layout's own."""
+    return F.when(name.isNotNull() & ~valid_field(name), F.raise_error(F.lit("a field name has a control byte")).cast("binary")).otherwise(raw_field(name))
+
+
+def _pid(pid: Column) -> Column:
+    pid = pid.cast("long")
+    return F.when(pid.isNull() | pid.between(1, codec.MAX_U32), pid).otherwise(F.raise_error(F.lit("a peer id is not in 1..2^32-1")).cast("long"))
+
+
+def _sequence(seq: Column) -> Column:
+    seq = seq.cast("long")
+    return F.when(seq.isNull() | seq.between(0, codec.MAX_U32), seq).otherwise(F.raise_error(F.lit("a sequence number is not in 0..2^32-1")).cast("long"))
+
+
 def index(*segments: tuple[Column, Column]) -> Column:
     """A path segment of a fractional index of (pid, seq) parts."""
-    return F.concat(_bytes("00"), *(varint_col(x) for s in segments for x in s))
+    return F.concat(_bytes("00"), *(varint_col(x) for pid, seq in segments for x in (_pid(pid), _sequence(seq))))
 
 
 def lww() -> Column:
@@ -54,13 +70,13 @@ def chunked(end: Column) -> Column:
 
 
 def counter(pid: Column) -> Column:
-    return F.concat(_bytes("001D"), F.unhex(F.lpad(F.hex(pid.cast("long")), 8, "0")))
+    return F.concat(_bytes("001D"), F.unhex(F.lpad(F.hex(_pid(pid)), 8, "0")))
 
 
-def path(*parts: Column, checked: bool = False) -> Column:
-    """A key of segments and a terminator; checked: an error if it is too long."""
+def path(*parts: Column, checked: bool = True) -> Column:
+    """A key of segments and a terminator; an error if it is too long, unless not checked."""
     key = F.concat(*parts)
-    return F.when(F.length(key) <= codec.MAX_PATH, key).otherwise(F.raise_error(F.lit("too long")).cast("binary")) if checked else key
+    return F.when(F.length(key) > codec.MAX_PATH, F.raise_error(F.lit("a key is too long")).cast("binary")).otherwise(key) if checked else key
 
 
 def within_limit(key: Column) -> Column:
@@ -101,6 +117,11 @@ def show_index_col(segments: Column) -> Column:
     return F.concat_ws(":", F.transform(segments, lambda s: F.concat(F.lit("("), F.lower(F.hex(s["pid"])), F.lit("@"), s["seq"].cast("string"), F.lit(")"))))
 
 
+@pandas_udf(T.BooleanType())
+def is_index_col(indices: pd.Series) -> pd.Series:
+    return indices.map(lambda b: None if b is None else codec.is_index(bytes(b)))
+
+
 @pandas_udf(T.BinaryType())
 def index_between_col(before: pd.Series, after: pd.Series, pid: pd.Series) -> pd.Series:
     def one(a, b, p):

@@ -20,7 +20,7 @@ def decompose(df: DataFrame, node: list[Column], names: list[str], keep: tuple[s
     values = F.array(*(F.struct(F.lit(n).alias("name"), F.to_json(F.struct(F.col(n).alias("v")), {"ignoreNullFields": "false"}).alias("json")) for n in names))
     rows = df.select(*keep, F.concat(*node).alias("__node"), F.explode(values).alias("__x"))
     json = F.col("__x.json")
-    return rows.select(*keep, F.concat("__node", K.field(F.col("__x.name")), K.lww()).alias("key"), json.substr(F.lit(6), F.length(json) - 6).alias("value"))
+    return rows.select(*keep, K.path(F.col("__node"), K.field(F.col("__x.name")), K.lww()).alias("key"), json.substr(F.lit(6), F.length(json) - 6).alias("value"))
 
 
 def sequence_entries(df: DataFrame, node: Column, array: str, pid: int) -> DataFrame:

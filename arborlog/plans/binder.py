@@ -21,6 +21,10 @@ from .query_text import Filter, Query, Select
 _names = itertools.count()
 
 
+#: Rows of a page at most whose keys are broadcast to the children's tasks.
+FEW = 10_000
+
+
 class BindError(ValueError):
     pass
 
@@ -82,12 +86,30 @@ def _order(c: Collection, f: dict) -> list[Column]:
 def _page(c: Collection, f: dict) -> DataFrame:
     df = _bounded(c, c.df, f)
     if "skip" in f or "take" in f:
+        if f.get("skip") and "take" not in f:
+            return _beyond_first(c, df, f)
         df = df.orderBy(*_order(c, f))
         df = df.offset(f["skip"]) if f.get("skip") else df
         df = df.limit(f["take"]) if "take" in f else df
     return df
 
 
+def _beyond_first(c: Collection, df: DataFrame, f: dict) -> DataFrame:
+    """All but the first rows: those beyond the last key that is skipped, so no task gets all rows.
+
+    Of rows with that very key as many go as are among the first.
+    """
+    first = df.select(*c.key).orderBy(*_order(c, f)).limit(f["skip"])
+    last = F.struct(*c.key, "__n")
+    bound = first.groupBy(*c.key).agg(F.count("*").alias("__n")).agg(F.sum("__n").alias("__skipped"), (F.min(last) if _backwards(f) else F.max(last)).alias("__last"))
+    # one row
+    met = df.crossJoin(F.broadcast(bound)).where(F.col("__skipped") == f["skip"])
+    key, end = F.struct(*c.key), F.struct(*(F.col("__last")[k].alias(k) for k in c.key))
+    beyond = met.where(key < end if _backwards(f) else key > end)
+    ties = met.where(key == end).withColumn("__i", F.row_number().over(Window.partitionBy(*c.key).orderBy(*c.key))).where(F.col("__i") > F.col("__last")["__n"]).drop("__i")
+    return beyond.unionByName(ties).drop("__skipped", "__last").orderBy(*_order(c, f))
+
+
 def _named(selects: tuple[Select, ...]) -> None:
     names = [s.output for s in selects]
     if len(set(names)) < len(names):
@@ -158,11 +180,15 @@ class Catalog(dict):
     def _collection(self, s: Select) -> DataFrame:
         c = self._get(s.name)
         f = _filter_set(s.filters)
-        df = self._project(c, _page(c, f), s.selects, [])
-        return df
+        page = _page(c, f)
+        return self._project(c, page, s.selects, [], bool(f), f.get("take", FEW + 1) <= FEW)
+
+    def _project(self, c: Collection, df: DataFrame, selects: tuple[Select, ...], keep: list[str], paged: bool, few: bool = False) -> DataFrame:
+        """df with the selected columns, and those in keep under their own names.
 
-    def _project(self, c: Collection, df: DataFrame, selects: tuple[Select, ...], keep: list[str]) -> DataFrame:
-        """df with the selected columns, and those in keep under their own names."""
+        paged: df is a part of its collection, so only its rows' children are numbered and gathered.
+        few: it has FEW rows at most, so their keys are broadcast.
+        """
         if not selects:
             return df
         _named(selects)
@@ -171,8 +197,9 @@ class Catalog(dict):
             if s.name in c.relations:
                 other, own, theirs = c.relations[s.name]
                 name = f"__r{next(_names)}"
-                entries = self._entries(other, theirs, s, name)
-                df = df.join(entries, [F.col(a).eqNullSafe(F.col(f"{name}_{j}")) for j, a in enumerate(own)], "left")
+                parents = df.select(*(F.col(a).alias(f"{name}_p{j}") for j, a in enumerate(own))) if paged else None
+                entries = self._entries(other, theirs, s, name, F.broadcast(parents) if few else parents)
+                df = df.join(entries, [F.col(a) == F.col(f"{name}_{j}") for j, a in enumerate(own)], "left")
                 out.append(F.coalesce(F.col(name), F.array().cast(entries.schema[name].dataType)).alias(s.output))
             elif s.name in df.columns:
                 out.append(_nested_value(F.col(f"`{s.name}`"), df.schema[s.name].dataType, s).alias(s.output))
@@ -180,19 +207,21 @@ class Catalog(dict):
                 raise BindError(f"no field {s.name}")
         return df.select(*(F.col(k) for k in keep), *out)
 
-    def _entries(self, name: str, theirs: list[str], s: Select, out: str) -> DataFrame:
-        """For each parent the ordered array of its selected entries."""
+    def _entries(self, name: str, theirs: list[str], s: Select, out: str, parents: DataFrame | None) -> DataFrame:
+        """For each parent (of ``parents``, if given) the ordered array of its selected entries; a null key has no parent."""
         c = self._get(name)
         f = _filter_set(s.filters)
         keys = [f"{out}_{j}" for j in range(len(theirs))]
         df = _bounded(c, c.df, f).withColumns({k: F.col(t) for k, t in zip(keys, theirs)})
+        if parents is not None:
+            df = df.join(parents, [F.col(k) == F.col(p) for k, p in zip(keys, parents.columns)], "left_semi")
         df = df.withColumn(f"{out}_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*_order(c, f))))
         if "skip" in f:
             df = df.where(F.col(f"{out}_n") > f["skip"])
         if "take" in f:
             df = df.where(F.col(f"{out}_n") <= f.get("skip", 0) + f["take"])
         extra = [*keys, f"{out}_n"]
-        rows = self._project(c, df, s.selects, extra)
+        rows = self._project(c, df, s.selects, extra, bool(f) or parents is not None)
         fields = [x for x in rows.columns if x not in extra]
         rows = rows.select(*keys, F.struct(F.col(f"{out}_n"), F.struct(*(F.col(f"`{x}`") for x in fields)).alias("e")).alias("e"))
         return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["e"]).alias(out))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +13,11 @@ from pyspark.sql import types as T
 from ..functions import clock, codec
 from ..functions import columns as K
 from ..operators import entries as E
-from ..operators.mutation import DELETE, entries, mutation
-from .binder import Catalog, Collection, flat
+from ..operators.mutation import DELETE, Assign, entries, mutation
+from ..sources.store import Options, Store, WriterBusy
+from .binder import BindError, Catalog, Collection, flat
+from .query_text import Query, QueryError, select
+from .query_text import query as tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -131,7 +136,7 @@ def transcript_sequence(spark, sf_dir):
 
 @query("SELECT c_custkey, '00' || hex('customer') || '00' || hex(CAST(c_custkey AS VARCHAR)) || '00' || hex('c_name') || '001E' AS key FROM customer")
 def path_encode_lww(spark, sf_dir):
-    key = K.path(K.field(F.lit("customer")), K.field(F.col("c_custkey").cast("string")), K.field(F.lit("c_name")), K.lww(), checked=True)
+    key = K.path(K.field(F.lit("customer")), K.field(F.col("c_custkey").cast("string")), K.field(F.lit("c_name")), K.lww())
     return _table(spark, sf_dir, "customer").select("c_custkey", F.hex(key).alias("key"))
 
 
@@ -169,7 +174,7 @@ def field_validate(spark, sf_dir):
 
 @query("SELECT doc_id, octet_length(encode(text)) + 3 <= 32767 AS within FROM documents")
 def path_length_limit(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", K.within_limit(F.concat(K.field(F.col("text")), K.lww())).alias("within"))
+    return _table(spark, sf_dir, "documents").select("doc_id", K.within_limit(F.concat(K.raw_field(F.col("text")), K.lww())).alias("within"))
 
 
 @query("SELECT 6 AS segments, 'lww' AS term, count(*) AS n FROM conversations")
@@ -369,16 +374,20 @@ def mutation_entries(spark, sf_dir):
     return spark.createDataFrame([(k.hex().upper(), v, d) for k, v, d in entries(m)], "key string, value string, deleted boolean")
 
 
+def _folder(spark) -> str:
+    """A new folder in the place that all executors share; a temporary one only where the master is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp()
+    return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
 @query("SELECT '006B5F' || hex(printf('%02d', i)) || '001E' AS key, printf('%d', i + CASE WHEN i % 2 = 0 THEN 100 ELSE 0 END) AS value FROM range(20) t(i) WHERE i % 5 <> 0")
 def store_commits(spark, sf_dir):
     """Three commits, an abort and a reopening of a store in a folder of its own."""
-    import tempfile
-    import uuid
-
-    from ..sources.store import Store
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp()
-    base = f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
+    base = _folder(spark)
     store = Store(spark, base)
     with store.begin() as tx:
         for i in range(20):
@@ -393,3 +402,228 @@ def store_commits(spark, sf_dir):
     with store.begin() as tx:
         tx.execute(mutation({"k_01": "lost"}))
     return Store(spark, base).begin_readonly().resolved(codec.subtree([])).select(F.hex("key").alias("key"), "value")
+
+
+# ---- the store over whole tables
+
+
+def _orders_store(spark, sf_dir, versions: int = 2, **options) -> Store:
+    """All orders as version 1, those with an even key anew as version 2, those with a key divisible by 5 deleted as version 3."""
+    store = Store(spark, Options(_folder(spark), **options))
+    orders = _table(spark, sf_dir, "orders")
+    key = K.path(K.field(F.lit("orders")), K.field(F.col("o_orderkey").cast("string")), K.lww()).alias("key")
+    parts = (
+        orders.select(key, F.col("o_orderstatus").alias("value")),
+        orders.where("o_orderkey % 2 = 0").select(key, F.lit("new").alias("value")),
+        orders.where("o_orderkey % 5 = 0").select(key, F.lit(None).cast("string").alias("value"), F.lit(True).alias("deleted")),
+    )
+    for part in parts[:versions]:
+        with store.begin() as tx:
+            tx.insert_all(part)
+            tx.commit()
+    return store
+
+
+_NEWEST = f"SELECT {_ORDER_KEY} AS key, CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE o_orderstatus END AS value, o_orderkey FROM orders"
+
+
+@query(f"SELECT key, value FROM ({_NEWEST}) WHERE o_orderkey % 5 <> 0")
+def store_resolved(spark, sf_dir):
+    """Layers of commits over all orders, with tombstones."""
+    return _shown(_orders_store(spark, sf_dir, 3).begin_readonly().resolved(codec.subtree(["orders"])))
+
+
+@query(f"SELECT {_ORDER_KEY} AS key, o_orderstatus AS value FROM orders")
+def store_snapshot_scan(spark, sf_dir):
+    """A snapshot of version 1, read after version 2."""
+    return _shown(_orders_store(spark, sf_dir).begin_readonly(version=1).scan(codec.subtree(["orders"])))
+
+
+@query(f"SELECT key, value FROM ({_NEWEST})")
+def store_compaction(spark, sf_dir):
+    """One version that stands for all before it; what it stands for is deleted."""
+    store = _orders_store(spark, sf_dir)
+    store.compact()
+    store.vacuum()
+    return _shown(store.begin_readonly().scan())
+
+
+@query(f"SELECT {_ORDER_KEY} AS key, o_orderstatus AS value FROM orders")
+def store_isolation(spark, sf_dir):
+    """A reader that began before the second commit."""
+    store = _orders_store(spark, sf_dir, 1)
+    reader = store.begin_readonly()
+    with store.begin() as tx:
+        tx.insert_all(_table(spark, sf_dir, "orders").select(K.path(K.field(F.lit("orders")), K.field(F.col("o_orderkey").cast("string")), K.lww()).alias("key"), F.lit("later").alias("value")))
+        tx.commit()
+    return _shown(reader.scan())
+
+
+@query(f"SELECT key, value FROM ({_NEWEST}) WHERE o_orderkey % 10 = 7 OR o_orderkey % 10 = 8")
+def store_point_get(spark, sf_dir):
+    """Rows of many keys, which prune files by their bounds and bloom filters."""
+    keys = _table(spark, sf_dir, "orders").where("o_orderkey % 10 in (7, 8)").select(K.path(K.field(F.lit("orders")), K.field(F.col("o_orderkey").cast("string")), K.lww()).alias("key"))
+    return _shown(E.latest(_orders_store(spark, sf_dir).begin_readonly().log().join(keys, "key", "left_semi")))
+
+
+@query(f"SELECT key, value FROM ({_NEWEST}) WHERE starts_with(CAST(o_orderkey AS VARCHAR), '7')")
+def store_prefix_scan(spark, sf_dir):
+    """A prefix as a key range, which the Parquet scan gets."""
+    return _shown(_orders_store(spark, sf_dir).begin_readonly().scan(codec.encode_segment("orders") + codec.encode_segment("7")))
+
+
+@query(f"SELECT count(*) AS n, min(key) AS min_key, max(key) AS max_key FROM (SELECT {_ORDER_KEY} AS key FROM orders)")
+def store_file_stats(spark, sf_dir):
+    """Bounds of what a commit wrote."""
+    return E.stats(_orders_store(spark, sf_dir, 1).begin_readonly().log()).select("n", F.hex("min_key").alias("min_key"), F.hex("max_key").alias("max_key"))
+
+
+@query("SELECT '00' || hex('nation') || '00' || hex(CAST(n_nationkey AS VARCHAR)) || '001E' AS key, '\"' || n_name || '\"' AS value FROM nation")
+def store_flush(spark, sf_dir):
+    """A buffer of 256 bytes, so a transaction spills many times before it commits."""
+    store = Store(spark, Options(_folder(spark), buffer_bytes=256, pid=9))
+    with store.begin() as tx:
+        for r in _table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():
+            tx.execute(mutation({"nation": {str(r["n_nationkey"]): r["n_name"]}}))
+        tx.commit()
+    return _shown(store.begin_readonly().scan())
+
+
+@query(f"SELECT 'free' AS first, 'busy' AS second, 'free' AS third, count(*) AS n FROM (SELECT {_ORDER_KEY} AS key FROM orders)")
+def store_two_handles(spark, sf_dir):
+    """Two handles of one store: the second can't write until the first has ended; what that staged goes; the clock follows."""
+    store = _orders_store(spark, sf_dir, 1)
+    other = Store(spark, store.base)
+
+    def begin(s):
+        try:
+            return "free", s.begin()
+        except WriterBusy:
+            return "busy", None
+
+    first, tx = begin(store)
+    tx.insert(b"lost", "1")
+    second, _ = begin(other)
+    tx.abort()
+    third, again = begin(other)
+    again.abort()
+    late = Store(spark, store.base)
+    return late.begin_readonly().log().where(F.col("hlc") < late.clock.next()).agg(F.lit(first).alias("first"), F.lit(second).alias("second"), F.lit(third).alias("third"), F.count("*").alias("n"))
+
+
+@query(f"SELECT count(*) AS n, 0 AS staged FROM (SELECT {_ORDER_KEY} AS key FROM orders)")
+def store_crash_cleanup(spark, sf_dir):
+    """A writer that dies with staged rows: its lease runs out and the next opening deletes them."""
+    store = _orders_store(spark, sf_dir, 1, lease_seconds=0.0)
+    tx = store.begin()
+    tx.insert_all(spark.createDataFrame([(bytearray(b"orphan"), "v")], "key binary, value string"))
+    late = Store(spark, store.base)
+    staged = len(late._fs.listStatus(late._path(f"{late.base}/staging")))
+    return late.begin_readonly().log().agg(F.count("*").alias("n"), F.lit(staged).alias("staged"))
+
+
+# ---- the query language beside its text
+
+
+@query("SELECT c_custkey AS id, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey > 5 ORDER BY c_custkey LIMIT 40) LEFT JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 2) ON o_custkey = c_custkey")
+def query_builder(spark, sf_dir):
+    """A query built as a tree."""
+    q = tree(select("customer", select("c_custkey", alias="id"), select("orders", "o_orderkey", take=2), after="5", take=40))
+    return flat(catalog(spark, sf_dir).one(q), "orders")
+
+
+@query("SELECT * FROM (VALUES ('{ a ! }', 'UnexpectedChar'), ('{ a', 'UnexpectedEnd'), ('{ a(first: 1) }', 'UnknownFilter'), ('{ a(skip: 18446744073709551616) }', 'UnexpectedChar'), ('{ nowhere { x } }', 'BindError'), ('{ orders(take: 1, take: 2) }', 'BindError'), ('{ orders(take: 18446744073709551615) { o_orderkey } }', 'none')) t(text, error)")
+def query_errors(spark, sf_dir):
+    """What is wrong with a query, and a number at its limit."""
+
+    def error(text: str) -> str:
+        try:
+            q = Query.parse(text)
+            if "18446744073709551615" not in text:
+                catalog(spark, sf_dir).run(q)
+        except (QueryError, BindError) as e:
+            return type(e).__name__
+        return "none"
+
+    texts = ("{ a ! }", "{ a", "{ a(first: 1) }", "{ a(skip: 18446744073709551616) }", "{ nowhere { x } }", "{ orders(take: 1, take: 2) }", "{ orders(take: 18446744073709551615) { o_orderkey } }")
+    return spark.createDataFrame([(t, error(t)) for t in texts], "text string, error string")
+
+
+# ---- keys, peers and clocks
+
+
+@query("SELECT event_id, event_id % 4 < 2 AS valid FROM events")
+def index_valid(spark, sf_dir):
+    """Whole indices, and those with a byte too few or too many."""
+    whole = F.concat(K.varint_col(F.col("user_id") + 1), K.varint_col(F.col("event_id")))
+    made = F.when(F.col("event_id") % 4 < 2, whole).when(F.col("event_id") % 4 == 2, whole.substr(F.lit(1), F.length(whole) - 1)).otherwise(F.concat(whole, F.unhex(F.lit("05"))))
+    return _table(spark, sf_dir, "events").select("event_id", K.is_index_col(made).alias("valid"))
+
+
+@query("SELECT event_id, '00' || hex(event_type) || '00' || hex(printf('%06d', user_id)) AS segments, row_number() OVER (ORDER BY event_type, user_id, event_id) AS place FROM events")
+def segment_order(spark, sf_dir):
+    """Byte order of the encoded segments is the order of the names."""
+    from pyspark.sql import Window
+
+    events = _table(spark, sf_dir, "events")
+    key = F.concat(K.field(F.col("event_type")), K.field(F.lpad(F.col("user_id").cast("string"), 6, "0")))
+    by_type = events.groupBy("event_type").count()
+    # places within a type, and the rows of the types before it
+    before = by_type.alias("a").join(F.broadcast(by_type.alias("b")), F.col("b.event_type") < F.col("a.event_type"), "left").groupBy(F.col("a.event_type").alias("event_type")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("before"))
+    rows = events.select("event_id", "event_type", key.alias("k")).join(F.broadcast(before), "event_type")
+    return rows.select("event_id", F.hex("k").alias("segments"), (F.col("before") + F.row_number().over(Window.partitionBy("event_type").orderBy("k", "event_id"))).cast("long").alias("place"))
+
+
+@query("SELECT DISTINCT user_id + 1 AS pid, printf('%x', user_id + 1) AS shown, user_id + 1 AS back FROM events UNION ALL SELECT 4294967295, 'ffffffff', 4294967295 UNION ALL SELECT 0, '0', NULL")
+def pid_text(spark, sf_dir):
+    """Peer ids as text and back; 0 is none."""
+    pids = _table(spark, sf_dir, "events").select((F.col("user_id") + 1).alias("pid")).distinct().union(spark.createDataFrame([(codec.MAX_U32,), (0,)], "pid long"))
+    shown = pids.select("pid", clock.show_pid_col(F.col("pid")).alias("shown"))
+    return shown.select("pid", "shown", clock.read_pid_col(F.col("shown")).alias("back"))
+
+
+@query("SELECT 2000 AS n, 2000 AS distinct_n, true AS increasing, true AS after_remote, true AS in_window, true AS pids_in_range")
+def clock_order(spark, sf_dir):
+    """Timestamps of a clock that stands still, then sees a remote one far ahead."""
+    own = clock.Clock(now=lambda: 1_000_000)
+    seen = [own.next() for _ in range(1000)]
+    own.sync(1_000_000 + 100_000)
+    seen += [own.next() for _ in range(1000)]
+    pids = [clock.new_pid() for _ in range(50)]
+    row = (len(seen), len(set(seen)), seen == sorted(seen), seen[1000] > 1_100_000, seen[0] & ~clock.LOW == 1_000_000 & ~clock.LOW, all(1 <= p <= codec.MAX_U32 for p in pids))
+    return spark.createDataFrame([row], "n int, distinct_n int, increasing boolean, after_remote boolean, in_window boolean, pids_in_range boolean")
+
+
+@query("SELECT * FROM (VALUES ('6162', 'delimiter'), ('', 'delimiter'), ('0061', 'delimiter'), ('001F0801', 'varint'), ('0061FF001E', 'field'), ('000105', 'index'), ('0061001E', 'none')) t(key, error)")
+def path_errors(spark, sf_dir):
+    """Why a key can't be read."""
+
+    def error(key: str) -> str:
+        try:
+            codec.decode_path(bytes.fromhex(key))
+        except codec.PathError as e:
+            return e.reason
+        return "none"
+
+    return spark.createDataFrame([(k, error(k)) for k in ("6162", "", "0061", "001F0801", "0061FF001E", "000105", "0061001E")], "key string, error string")
+
+
+@query("SELECT * FROM (VALUES ('n', '7'), ('x', '-2.25'), ('t', '\"é\"'), ('b', 'false'), ('z', 'null'), ('m', '{\"k\": [1, null]}'), ('l', '[3, 2]')) t(name, value)")
+def mutation_values(spark, sf_dir):
+    """Values of every kind, as entries hold them; fields and an index as segments."""
+    m = mutation({"n": 7, "x": -2.25, "t": "é", "b": False, "z": None, "m": Assign("m", {"k": [1, None]}), "l": [3, 2]})
+    rows = [(codec.decode_path(k)[0][0], v) for k, v, _ in entries(m)]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
+@query("SELECT c_custkey, c_custkey % 3 = 0 AS control, c_custkey % 3 = 1 AS peer FROM customer")
+def encoder_checks(spark, sf_dir):
+    """Names with a control byte and peer ids over 32 bits, which the encoders refuse."""
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit("\x00x"))).otherwise(F.col("c_name")).alias("name"), F.when(F.col("c_custkey") % 3 == 1, F.col("c_custkey") + (1 << 32)).otherwise(F.col("c_custkey")).alias("pid"))
+    try:
+        rows.select(K.field(F.col("name")), K.counter(F.col("pid"))).write.format("noop").mode("overwrite").save()
+    except Exception as e:
+        if "control byte" not in str(e) and "peer id" not in str(e):
+            raise
+        return rows.select("c_custkey", (~K.valid_field(F.col("name"))).alias("control"), (F.col("pid") > codec.MAX_U32).alias("peer"))
+    raise AssertionError("the encoders took bad input")

@@ -75,7 +75,7 @@ def query(*selects: Select | str) -> Query:
     return Query(tuple(s if isinstance(s, Select) else Select(s) for s in selects))
 
 
-_TOKEN = re.compile(r'(?P<space>[ \t\r\n]+)|(?P<word>[A-Za-z_][A-Za-z0-9_]*)|(?P<number>[0-9]+)|"(?P<quoted>[^"]*)"|(?P<mark>[{}(),:])')
+_TOKEN = re.compile(r'(?P<space>[ \t\r\n\f]+)|(?P<word>[A-Za-z_][A-Za-z0-9_]*)|(?P<number>[0-9]+)|"(?P<quoted>[^"]*)"|(?P<mark>[{}(),:])')
 
 
 class _Parser:

@@ -8,30 +8,26 @@ S = Select
 @pytest.mark.parametrize(
     "text, tree",
     [
-        ("{ users { name, age } }", query(select("users", "name", "age"))),
-        ("{ users { profile { avatar { url } } } }", query(select("users", select("profile", select("avatar", "url"))))),
-        ("{ name, age, active }", query("name", "age", "active")),
-        ('{ "first name", "last name" }', query("first name", "last name")),
-        ('{ name, "home address" }', query("name", "home address")),
-        ("{ name as first_name, age }", query(S("name", "first_name"), "age")),
-        ('{ "field" as "alias" }', query(S("field", "alias"))),
-        ('{ name as "display name" }', query(S("name", "display name"))),
-        ("{ items(skip: 5) }", query(select("items", skip=5))),
-        ("{ items(take: 10) }", query(select("items", take=10))),
-        ('{ items(after: "cursor_abc") }', query(select("items", after="cursor_abc"))),
-        ('{ items(before: "cursor_xyz") }', query(select("items", before="cursor_xyz"))),
-        ('{ items(skip: 2, take: 5, after: "start", before: "end") }', query(select("items", skip=2, take=5, after="start", before="end"))),
-        ("{ friends(skip: 1, take: 10) { name } }", query(select("friends", "name", skip=1, take=10))),
-        ("{ users { name as first_name, age, friends(skip: 1, take: 10) { name } } }", query(select("users", S("name", "first_name"), "age", select("friends", "name", skip=1, take=10)))),
-        ("{ name, age, }", query("name", "age")),
-        ("{}", query()),
-        ("{ a b }", query("a", "b")),
-        ("{ as }", query("as")),
-        ("{ a as as }", query(S("a", "as"))),
-        ("{ items(skip: 1 skip: 2) }", query(S("items", None, (Filter("skip", 1), Filter("skip", 2))))),
-        ('{ "" }', query("")),
-        ("{ ascii assets }", query("ascii", "assets")),
-        ("{ items(after: cursor) }", query(select("items", after="cursor"))),
+        ("{ shelf { title isbn } }", query(select("shelf", "title", "isbn"))),
+        ("{a{b{c{d}}}}", query(select("a", select("b", select("c", "d"))))),
+        ("{\n\ttitle,\r\n  pages,\f year }", query("title", "pages", "year")),
+        ('{ "a title", "{(,:)}" }', query("a title", "{(,:)}")),
+        ('{ _x9 "é\u00a0ü" }', query("_x9", "é\u00a0ü")),
+        ("{ title as t, year as y }", query(S("title", "t"), S("year", "y"))),
+        ('{ "main title" as t, year as "the year" }', query(S("main title", "t"), S("year", "the year"))),
+        ("{ shelf(skip: 0) }", query(select("shelf", skip=0))),
+        ("{ shelf(take: 18446744073709551615) }", query(select("shelf", take=(1 << 64) - 1))),
+        ('{ shelf(after: "17/b") { isbn } }', query(select("shelf", "isbn", after="17/b"))),
+        ('{ shelf(before: "z z") }', query(select("shelf", before="z z"))),
+        ('{ shelf(before: "m", take: 3, after: "c", skip: 4) }', query(select("shelf", before="m", take=3, after="c", skip=4))),
+        ("{ shelf as s(take: 1) { title as t, copies(skip: 2) { place } }, year }", query(select("shelf", S("title", "t"), select("copies", "place", skip=2), alias="s", take=1), "year")),
+        ("{ title, year, }", query("title", "year")),
+        ("{ }", query()),
+        ("{ asked as as }", query(S("asked", "as"))),
+        ("{ as assign }", query("as", "assign")),
+        ("{ shelf(take: 1 take: 2) }", query(S("shelf", None, (Filter("take", 1), Filter("take", 2))))),
+        ('{ "" as x }', query(S("", "x"))),
+        ("{ shelf(after: mark) }", query(select("shelf", after="mark"))),
     ],
 )
 def test_accepted(text, tree):
@@ -41,23 +37,23 @@ def test_accepted(text, tree):
 @pytest.mark.parametrize(
     "text, error, fields",
     [
-        ("{ @ }", UnexpectedChar, ("@", 2)),
-        ("{ name", UnexpectedEnd, None),
-        ("{ items(limit: 5) }", UnknownFilter, ("limit", 8)),
-        ("{ items(limit 5) }", UnexpectedChar, ("5", 14)),
-        ("name, age", UnexpectedChar, ("n", 0)),
-        ("{ name } extra", UnexpectedChar, ("e", 9)),
-        ("{ , a }", UnexpectedChar, (",", 2)),
-        ("{ a,, b }", UnexpectedChar, (",", 4)),
-        ("{ items(skip: -1) }", UnexpectedChar, ("-", 14)),
-        ("{ items(take: x) }", UnexpectedChar, ("x", 14)),
-        ("{ 1a }", UnexpectedChar, ("1", 2)),
-        ('{ "open', UnexpectedEnd, None),
-        ("", UnexpectedEnd, None),
-        ("{ é }", UnexpectedChar, ("é", 2)),
-        ('{ "é" @ }', UnexpectedChar, ("@", 7)),
-        ("{ items(SKIP: 1) }", UnknownFilter, ("SKIP", 8)),
-        ("{ items(skip: 99999999999999999999) }", UnexpectedChar, ("9", 14)),
+        ("{ title % }", UnexpectedChar, ("%", 8)),
+        ("{ shelf { title", UnexpectedEnd, None),
+        ("{ shelf(first: 5) }", UnknownFilter, ("first", 8)),
+        ("{ shelf(take 5) }", UnexpectedChar, ("5", 13)),
+        ("title }", UnexpectedChar, ("t", 0)),
+        ("{ title } { year }", UnexpectedChar, ("{", 10)),
+        ("{ ,title }", UnexpectedChar, (",", 2)),
+        ("{ title,,year }", UnexpectedChar, (",", 8)),
+        ("{ shelf(take: -3) }", UnexpectedChar, ("-", 14)),
+        ("{ shelf(skip: many) }", UnexpectedChar, ("m", 14)),
+        ("{ 7up }", UnexpectedChar, ("7", 2)),
+        ('{ "never closed', UnexpectedEnd, None),
+        (" ", UnexpectedEnd, None),
+        ("{ ü }", UnexpectedChar, ("ü", 2)),
+        ('{ "ü" ; }', UnexpectedChar, (";", 7)),
+        ("{ shelf(Take: 1) }", UnknownFilter, ("Take", 8)),
+        ("{ shelf(take: 18446744073709551616) }", UnexpectedChar, ("1", 14)),
     ],
 )
 def test_rejected(text, error, fields):
