@@ -358,6 +358,56 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, frequent:
     return links
 
 
+def _classes(docs: DataFrame, k: int):
+    """(described documents, membership, ids that are copies, one text of each class, frequent tokens, their ranks)."""
+    lighten(docs.sparkSession)
+    known = written(describe(docs, k))
+    per_doc = known.where("n >= 0").select("doc_id", "n", "s1", "s2")
+    total = per_doc.count()
+    top = known.where("n < 0").groupBy(F.col("s1").alias("token")).agg(F.sum(-F.col("n")).alias("c")).where(F.col("c") >= max(6, total // 100_000)).orderBy(F.desc("c"), "token").limit(FREQUENT).collect()
+    frequent = np.array(sorted(r["token"] & (1 << 64) - 1 for r in top), np.uint64)
+    by = {r["token"] & (1 << 64) - 1: min(63, int(r["c"]).bit_length()) for r in top}
+    rank = np.array([by[t] for t in frequent.tolist()], np.int64)
+
+    classes = written(per_doc.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    n_classes = classes.count()
+    members = per_doc.join(small(classes, n_classes), ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("class_id"))
+    copies = members.where("class_id <> doc_id").select("doc_id").distinct()
+    texts = _only(docs.where("doc_id is not null"), copies, "left_anti")
+    return known, members, copies, texts, frequent, rank
+
+
+def ngram_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(links, membership): every link between documents of different sets, and who is of which class.
+
+    links: a, b (a < b, the smallest ids of two classes), shared (size of the intersection).
+    membership: doc_id, n_shingles, class_id, n_links: the documents other than itself that the document
+    links with, those of its own set included, as if copies were written out.
+
+    Every two classes that share a prefix token of the first order are met, whether other links
+    join them or not, so rows grow with the links; ``ngram_jaccard_join`` gives the components alone for less.
+    A null or empty text has no links and a null doc_id none either; rows that repeat a doc_id and a text
+    count once; an id should name one text, as of a copy's id other texts are not met; other columns are
+    ignored; an empty table gives no rows.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spark = docs.sparkSession
+    known, members, _, texts, frequent, rank = _classes(docs, k)
+    rows = prefix_rows(texts, k, percent, frequent, rank)
+    rows = written(shared_tokens(rows.repartition("token").sortWithinPartitions("token")))
+    lighten(spark)
+    met = written(crossings(rows.withColumn("comp", F.col("doc_id")), percent, tasks=-(-rows.count() // 100_000)).distinct())
+    found = verified(texts, met, k, percent, frequent, rank)
+    links, members = written(found.distinct()), written(members.distinct())
+    release(rows, met, found, known)
+    size = members.where("n > 0 and doc_id is not null").groupBy("class_id").agg(F.count("*").alias("__size"))
+    ends = links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a"))
+    near = ends.join(size, F.col("y") == F.col("class_id")).groupBy(F.col("x").alias("class_id")).agg(F.sum("__size").alias("__near"))
+    counts = size.join(near, "class_id", "left").select("class_id", (F.col("__size") - 1 + F.coalesce("__near", F.lit(0))).alias("__links"))
+    out = members.join(counts, "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("__links", F.lit(0))).otherwise(0).alias("n_links"))
+    return links, out
+
+
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest id reachable by links).
 
@@ -378,21 +428,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
-    lighten(spark)
-    known = written(describe(docs, k))
-    per_doc = known.where("n >= 0").select("doc_id", "n", "s1", "s2")
-    total = per_doc.count()
-    top = known.where("n < 0").groupBy(F.col("s1").alias("token")).agg(F.sum(-F.col("n")).alias("c")).where(F.col("c") >= max(6, total // 100_000)).orderBy(F.desc("c"), "token").limit(FREQUENT).collect()
-    frequent = np.array(sorted(r["token"] & (1 << 64) - 1 for r in top), np.uint64)
-    by = {r["token"] & (1 << 64) - 1: min(63, int(r["c"]).bit_length()) for r in top}
-    rank = np.array([by[t] for t in frequent.tolist()], np.int64)
-
-    classes = written(per_doc.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    n_classes = classes.count()
-    members = per_doc.join(small(classes, n_classes), ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("class_id"))
-    copies = members.where("class_id <> doc_id").select("doc_id").distinct()
-    texts = _only(docs.where("doc_id is not null"), copies, "left_anti")
-
+    known, members, copies, texts, frequent, rank = _classes(docs, k)
     rows = prefix_rows(texts, k, percent, frequent, rank)
     rows = written(shared_tokens(rows.repartition("token").sortWithinPartitions("token")))
     lighten(spark)

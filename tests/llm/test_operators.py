@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -85,6 +86,24 @@ def test_ngram_join_repeats_null_ids_and_empty(spark):
     assert ngram_join.ngram_jaccard_join(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_links_and_their_number_equal_brute_force(spark, texts):
+    sets = sets_of(texts)
+    near = {(i, j): len(sets[i] & sets[j]) for i, j in itertools.combinations(range(len(sets)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(frozenset(s) if s else i, i)
+    rep = [first[frozenset(s) if s else i] for i, s in enumerate(sets)]
+    links, members = ngram_join.ngram_links(table(spark, texts))
+    assert {(r["a"], r["b"]): r["shared"] for r in links.collect()} == {(i, j): m for (i, j), m in near.items() if rep[i] == i and rep[j] == j and rep[i] != rep[j]}
+    count = Counter(x for pair in near for x in pair)
+    assert {tuple(r) for r in members.collect()} == {(i, len(s), rep[i], count[i]) for i, s in enumerate(sets)}
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f"), (3, None)]
+    links, members = ngram_join.ngram_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert links.count() == 0
+    assert {(r["doc_id"], r["n_links"]) for r in members.collect()} == {(1, 1), (2, 1), (3, 0), (None, 0)}
+    assert all(x.count() == 0 for x in ngram_join.ngram_links(spark.createDataFrame([], SCHEMA)))
+
+
 def test_bitmap_bounds_the_intersection():
     rng = np.random.default_rng(1)
     for _ in range(50):
