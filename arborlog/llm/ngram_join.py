@@ -167,19 +167,29 @@ def share(x: bytes, y: bytes) -> bool:
     return bool((a[at] == b).any())
 
 
-def set_rows(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(doc_id, n, short prefixes of the second and third order, bitmap, whole set) of each document."""
+def filter_rows(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """(doc_id, n, short prefixes of the second and third order, bitmap) of each document."""
     orders = ((ORDER_SEEDS[1], NONE, NONE), (ORDER_SEEDS[2], frequent, rank))
 
     def f(batch):
         sets = document_sets(batch.column("text"), k)
         n = pa.array(np.array([len(s) for s in sets], np.int64))
-        binary = [pa.array([g(s) for s in sets], pa.binary()) for g in (*(lambda s, o=o: short_prefix(s, o[0], percent, *o[1:]) for o in orders), bitmap, np.ndarray.tobytes)]
-        table = pa.RecordBatch.from_arrays([batch.column("doc_id"), n, *binary], ["doc_id", "n", "second", "third", "bits", "tokens"])
+        binary = [pa.array([g(s) for s in sets], pa.binary()) for g in (*(lambda s, o=o: short_prefix(s, o[0], percent, *o[1:]) for o in orders), bitmap)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, *binary], ["doc_id", "n", "second", "third", "bits"])
+
+    return map_batches(docs, f, "doc_id long, n long, second binary, third binary, bits binary")
+
+
+def set_rows(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, tokens): the whole set of each document."""
+
+    def f(batch):
+        sets = document_sets(batch.column("text"), k)
+        table = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "tokens"])
         for a in range(0, table.num_rows, 500):
             yield table.slice(a, 500)
 
-    return map_batches(docs, f, "doc_id long, n long, second binary, third binary, bits binary, tokens binary")
+    return map_batches(docs, f, "doc_id long, tokens binary")
 
 
 def possible(n1, pos1, n2, pos2, percent: int):
@@ -328,21 +338,24 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, frequent:
     """Pairs that share prefix tokens under the other orders too and whose whole sets reach the Jaccard threshold.
 
     The orders' filters are intersected on the short prefixes, together with the bitmaps' bound; whole
-    sets travel for the pairs that are left only.
+    sets are made and travel only of documents in a pair that is left.
     """
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    sets = written(set_rows(_only(docs, ids, "left_semi"), k, percent, frequent, rank))
+
+    def ends(pairs):
+        return written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+
+    def side(table, x):
+        return table.select(*(F.col(c).alias(x if c == "doc_id" else f"{c}_{x}") for c in table.columns))
+
+    ids = ends(pairs)
+    filters = written(filter_rows(_only(docs, ids, "left_semi"), k, percent, frequent, rank))
 
     def worth(batch):
         x = [batch.column(i).to_pylist() for i in range(2, 10)]
         keep = [share(p2, q2) and share(p3, q3) and 100 * (m := most_shared(p, i, q, j)) >= percent * (i + j - m) for i, p2, p3, p, j, q2, q3, q in zip(*x)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def side(x, *cols):
-        return sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
-
-    filters = ("n", "second", "third", "bits")
-    met = pairs.join(side("a", *filters), "a").join(side("b", *filters), "b").select("a", "b", *(f"{c}_{x}" for x in "ab" for c in filters))
+    met = pairs.join(side(filters, "a"), "a").join(side(filters, "b"), "b").select("a", "b", *(f"{c}_{x}" for x in "ab" for c in filters.columns[1:]))
     left = written(map_batches(met, worth, "a long, b long"))
 
     def f(batch):
@@ -351,9 +364,11 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, frequent:
         keep = pa.array([100 * m >= percent * (total - m) for m, total in size], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([m for m, _ in size], pa.int64())], ["a", "b", "shared"]).filter(keep)
 
-    both = left.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "tokens_a", "tokens_b")
+    kept = ends(left)
+    sets = written(set_rows(_only(docs, kept, "left_semi"), k))
+    both = left.join(side(sets, "a"), "a").join(side(sets, "b"), "b").select("a", "b", "tokens_a", "tokens_b")
     links = written(map_batches(both, f, "a long, b long, shared long"))
-    release(ids, sets, left)
+    release(ids, filters, left, kept, sets)
     lighten(docs.sparkSession)
     return links
 
